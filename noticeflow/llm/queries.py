@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import quality_rules, secret_scan, storage, url_filter, warc
+from noticeflow.llm import ngram_join, quality_rules, secret_scan, storage, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_join": op8_ngram_join,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -51,4 +56,35 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op8_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(
+                regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE
+                WHEN len(words) = 0 THEN []
+                WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+            END) AS shingles
+            FROM w
+        ), n AS (
+            SELECT doc_id, len(shingles) AS n FROM s
+        ), e AS (
+            SELECT doc_id, unnest(shingles) AS shingle FROM s
+        ), o AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k
+            FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+        ), l AS (
+            SELECT u, v FROM o JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)
+        ), r AS (
+            SELECT doc_id, doc_id AS seen FROM n
+            UNION
+            SELECT r.doc_id, l.v AS seen FROM r JOIN l ON l.u = r.seen
+        ), c AS (
+            SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM n JOIN c USING (doc_id)
+    """,
 }

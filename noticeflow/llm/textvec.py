@@ -134,9 +134,12 @@ def ngrams(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(chunk.hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
+    # Odd factors without a small relation between them, so that no two orders of a few
+    # words sum to the same.
+    factors = mix(np.arange(1, k + 1, dtype=U64) * U64(_BASE)) | U64(1)
     total = np.zeros(n, U64)
     for j in range(k):
-        total += chunk.hashes[j : j + n] * U64((0xD6E8FEB86659FD93 * (2 * j + 1)) & _MASK)
+        total += chunk.hashes[j : j + n] * factors[j]
     inside = np.flatnonzero(chunk.row[:n] == chunk.row[k - 1 :])
     return mix(total[inside]), inside
 
