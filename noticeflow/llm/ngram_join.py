@@ -15,10 +15,14 @@ Rows that share a ``doc_id`` count as one document.
    only these are listed.
 4. The boundary is the one of least cost: keys of the small sets against postings of the
    large ones times the mean length of the lists they scan, both measured on all rows.
-5. Sets under one list or key form candidate clusters.  The clusters are dealt to blocks of
-   bounded weight (a large cluster to pairs of sub-blocks), where all inverted lists of all
-   sets in the block are scanned to count the overlap of every pair, exactly.  Only a
-   spanning star of the links leaves a block; pairs never do.
+5. Short lists are scanned for the number ``k`` of first-part shingles that two sets share.
+   They can link only if ``k`` and what lies beyond a first part reach the least overlap,
+   which rules out most sets that merely share a passage.  Long lists, and the keys of
+   small sets, are stars around one set and rule nothing out.
+6. What is left forms candidate clusters.  These are dealt to blocks of bounded weight (a
+   large cluster to pairs of sub-blocks), where all inverted lists of all sets in the block
+   are scanned to count the overlap of every pair, exactly.  Only a spanning star of the
+   links leaves a block.
 
 Lists that grow without bound are never gathered: a list is collected only when it is not
 in the table of frequent shingles.  That table orders shingles and nothing else, so its
@@ -50,7 +54,8 @@ class Join:
 
     ``frequent``: a shingle in more first parts than this comes last in the order;
     ``max_frequent``: so many of them at most, the most frequent;
-    ``largest_small``: the boundary is at most this; ``block``: weight of a block.
+    ``largest_small``: the boundary is at most this; ``short``: longest list that is scanned
+    for pairs; ``block``: weight of a block.
     """
 
     k: int = 5
@@ -58,6 +63,7 @@ class Join:
     frequent: int = 64
     max_frequent: int = 100_000
     largest_small: int = 12
+    short: int = 128
     block: int = 1_000_000
 
     def need(self, a: int, b: int) -> int:
@@ -126,30 +132,40 @@ def boundary(conf: Join, sizes: dict[int, int], scan: float) -> int:
 
 
 def _signatures(conf: Join, x: int, frequent: np.ndarray):
-    """Rows (doc_id, n, d1, d2, keys) of each document."""
-
-    def keys(s: np.ndarray) -> np.ndarray:
-        n, out = len(s), []
-        if n <= x:
-            for c in conf.overlaps(n, x):
-                mark = np.uint64(c * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-                picked = s[np.array(list(itertools.combinations(range(n), c)))]
-                out.append(tv.mix(np.bitwise_xor.reduce(tv.mix(picked + mark), axis=1) + mark))
-        if 100 * n > conf.percent * x:
-            p = conf.first(n)
-            if len(frequent):
-                last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                out.append(np.concatenate((s[~last][:p], s[last]))[:p])
-            else:
-                out.append(s[:p])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    """Rows (doc_id, n, d1, d2, first, late, keys) of each document.
+
+    ``first`` is its first part, ``late`` how many frequent shingles that holds, and
+    ``keys`` the subset keys of a small set.
+    """
+    none = np.zeros(0, np.uint64)
+
+    def subsets(s: np.ndarray) -> np.ndarray:
+        out = []
+        for c in conf.overlaps(len(s), x) if len(s) <= x else ():
+            mark = np.uint64(c * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            picked = s[np.array(list(itertools.combinations(range(len(s)), c)))]
+            out.append(tv.mix(np.bitwise_xor.reduce(tv.mix(picked + mark), axis=1) + mark))
+        return np.concatenate(out) if out else none
+
+    def first(s: np.ndarray) -> tuple[np.ndarray, int]:
+        if 100 * len(s) <= conf.percent * x:
+            return none, 0
+        p = conf.first(len(s))
+        if not len(frequent):
+            return s[:p], 0
+        last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        early = s[~last][:p]
+        return np.concatenate((early, s[last]))[:p], p - len(early)
+
+    def lists(values: list[np.ndarray]) -> pa.ListArray:
+        at = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), _longs(np.concatenate([none, *values])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in tv.chunks(batch.column(1)):
                 sets = tv.shingle_sets(chunk, conf.k)
-                lists = [keys(s) if len(s) else s for s in sets]
-                at = np.concatenate(([0], np.cumsum([len(v) for v in lists]))).astype(np.int32)
+                firsts = [first(s) for s in sets]
                 d1 = np.array([np.bitwise_xor.reduce(tv.mix(s)) if len(s) else 0 for s in sets], np.uint64)
                 d2 = np.array([np.add.reduce(tv.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(s) else 0 for s in sets], np.uint64)
                 yield pa.record_batch(
@@ -158,9 +174,11 @@ def _signatures(conf: Join, x: int, frequent: np.ndarray):
                         pa.array([len(s) for s in sets], pa.int64()),
                         _longs(d1),
                         _longs(d2),
-                        pa.ListArray.from_arrays(pa.array(at), _longs(np.concatenate(lists))),
+                        lists([f for f, _ in firsts]),
+                        pa.array([late for _, late in firsts], pa.int64()),
+                        lists([subsets(s) if len(s) else s for s in sets]),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "keys"],
+                    names=["doc_id", "n", "d1", "d2", "first", "late", "keys"],
                 )
 
     return run
@@ -228,20 +246,71 @@ def _links(conf: Join):
     return run
 
 
-def _candidates(postings: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Stars (u, v) that join the documents of each list or key with their least one.
+def _scan(conf: Join):
+    """(a, b, na, nb, late, k) of sets on short lists; (doc, hub, 0, 0, 0, -1) of long ones."""
+    names = ["a", "b", "na", "nb", "late", "k"]
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(held, axis=1) if held else np.zeros((5, 0), np.int64)
+        order = np.lexsort((pairs[1], pairs[0]))
+        pairs = pairs[:, order]
+        new = np.flatnonzero(np.concatenate(([True], (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])))) if len(order) else order
+        k = np.diff(np.concatenate((new, [len(order)])))
+        return pa.record_batch([*(pa.array(c) for c in pairs[:, new]), pa.array(k.astype(np.int64))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            column = batch.column(0)
+            at = column.offsets.to_numpy()
+            docs, n, late = (column.values.field(i).to_numpy() for i in range(3))
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if hi - lo > conf.short:
+                    hub, m = int(docs[lo:hi].min()), hi - lo
+                    zero = np.zeros(m, np.int64)
+                    yield pa.record_batch([pa.array(x) for x in (docs[lo:hi], np.full(m, hub), zero, zero, zero, zero - 1)], names=names)
+                    continue
+                order = lo + np.argsort(docs[lo:hi], kind="stable")
+                i, j = np.triu_indices(hi - lo, 1)
+                i, j = order[i], order[j]
+                near = (100 * np.minimum(n[i], n[j]) >= conf.percent * np.maximum(n[i], n[j])) & (docs[i] != docs[j])
+                i, j = i[near], j[near]
+                if len(i):
+                    held.append(np.stack((docs[i], docs[j], n[i], n[j], np.minimum(late[i], late[j]))))
+                    total += len(i)
+            if total > 1_000_000:
+                yield flush(held)
+                held, total = [], 0
+        yield flush(held)
+
+    return run
+
+
+def _candidates(marks: DataFrame, frequent: np.ndarray, conf: Join) -> DataFrame:
+    """Pairs (u, v) that may link, and stars around one set for long lists and subset keys.
 
     Lists of frequent shingles stay rows: their least documents, at most one row for each
     of the bounded number of frequent shingles, are broadcast to them.
     """
-    spark = postings.sparkSession
-    often = spark.createDataFrame(pa.table({"t": pa.array(frequent.view(np.int64), pa.int64())}))
-    long = postings.join(F.broadcast(often), "t")
-    hubs = long.groupBy("t").agg(F.min("doc_id").alias("hub"))
-    stars = long.join(F.broadcast(hubs), "t").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
-    short = postings.join(F.broadcast(often), "t", "left_anti").groupBy("t").agg(F.collect_list("doc_id").alias("docs")).where("size(docs) > 1")
-    rest = short.select(F.explode("docs").alias("u"), F.array_min("docs").alias("v"))
-    return stars.unionByName(rest).where("u <> v").distinct()
+    spark = marks.sparkSession
+    often = F.broadcast(spark.createDataFrame(pa.table({"t": pa.array(frequent.view(np.int64), pa.int64())})))
+    postings = marks.select(F.struct("doc_id", "n", "late").alias("doc"), F.explode("first").alias("t"))
+    late = postings.where("doc.late > 0").join(often, "t").select("t", "doc.doc_id")
+    hubs = late.groupBy("t").agg(F.min("doc_id").alias("hub"))
+    stars = late.join(F.broadcast(hubs), "t").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
+
+    keyed = marks.where("size(keys) > 0").select("doc_id", "n", F.explode("keys").alias("t"))
+    least = keyed.groupBy("t").agg(F.min(F.struct("n", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    small = keyed.join(least, "t").select(F.col("doc_id").alias("u"), F.col("hub.doc_id").alias("v"))
+
+    short = postings.join(often, "t", "left_anti").groupBy("t").agg(F.collect_list("doc").alias("docs")).where("size(docs) > 1")
+    scanned = short.select("docs").mapInArrow(_scan(conf), "a long, b long, na long, nb long, late long, k long")
+    pairs = scanned.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("late").alias("late"), F.sum(F.greatest("k", F.lit(0))).alias("k"), F.min("k").alias("star"))
+    # n less ceil(percent * n / 100) and one, are in the first part; the rest is beyond it.
+    beyond = F.expr(f"greatest((na * {conf.percent} + 99) div 100, (nb * {conf.percent} + 99) div 100) - 1")
+    may = (100 + conf.percent) * (F.col("k") + F.col("late") + beyond) >= conf.percent * (F.col("na") + F.col("nb"))
+    rest = pairs.where((F.col("star") < 0) | may).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return stars.unionByName(small).unionByName(rest).where("u <> v").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join = Join()) -> DataFrame:
@@ -259,12 +328,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join =
     drop(spark, counts)
     x = boundary(conf, sizes, scan)
 
-    marks = written(docs.mapInArrow(_signatures(conf, x, frequent), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "signatures")
+    marks = written(docs.mapInArrow(_signatures(conf, x, frequent), "doc_id long, n long, d1 long, d2 long, first array<long>, late long, keys array<long>"), "signatures")
     rows = marks.select("doc_id", "n", "d1", "d2")
     classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id"))
-    postings = marks.select("doc_id", "keys").join(reps.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("t"))
-    edges = written(_candidates(postings, frequent), "candidates")
+    own = marks.join(reps.hint("shuffle_hash"), "doc_id", "left_semi").drop("d1", "d2")
+    edges = written(_candidates(own, frequent, conf), "candidates")
     clusters = written(components(edges), "clusters")
     drop(spark, edges)
 
@@ -273,14 +342,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join =
     total = weights.agg(F.sum("w")).head()[0] or 0
     parts = F.ceil(F.col("w") / conf.block).cast("int")
     home = F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // conf.block)))).cast("string")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own")),
         lambda j: F.concat_ws("/", F.col("root"), F.least(j, F.col("own")), F.greatest(j, F.col("own"))),
     )
     placed = (
         nodes.join(weights.withColumn("parts", parts), "root")
-        .withColumn("own", own)
+        .withColumn("own", part)
         .select(F.when(F.col("parts") > 1, pairs).otherwise(F.array(home)).alias("blocks"), F.col("node").alias("doc_id"))
     )
     texts = docs.join(placed.hint("shuffle_hash"), "doc_id").select("blocks", "doc_id", "text")
