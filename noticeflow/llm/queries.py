@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import decontaminate, lm_score, ngram_join, packing, quality_rules, secret_scan, storage, toxicity, url_filter, warc
+from noticeflow.llm import decontaminate, lm_score, ngram_join, packing, pii, quality_rules, secret_scan, storage, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(pages, storage.new_path(spark, "warc"))
@@ -64,6 +68,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
