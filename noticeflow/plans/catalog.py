@@ -2,5 +2,376 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noticeflow.functions import rules
+from noticeflow.functions import text as T
+from noticeflow.operators import collect, digest, greedy, relevance, routes
+from noticeflow.plans import oracle, views
+from noticeflow.sources import feeds, pages
+
+NOW, DAYS = oracle.NOW, oracle.DAYS
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict = dict(oracle.SQL)
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _current(spark: SparkSession, d: str) -> DataFrame:
+    """The notices of the period, first of each link."""
+    return collect.first_wins(collect.since(views.notices(spark, d), NOW, DAYS))
+
+
+def _seen(n: DataFrame) -> DataFrame:
+    """A state: the keys of two thirds of the notices."""
+    key = T.dedup_key(F.col("url"), F.col("agency"), F.col("title"))
+    return n.where(F.col("item_idx") % 3 != 0).groupBy(key.alias("key")).agg(F.min("item_idx").alias("pos"))
+
+
+def _array_text(c: str) -> F.Column:
+    return F.array_join(c, "|").alias(c)
+
+
+@query
+def digest_agencies(spark, d):
+    return digest.agencies(_current(spark, d)).select("agency", "n")
+
+
+@query
+def digest_categories(spark, d):
+    return digest.categories(_current(spark, d)).select("category", "n")
+
+
+@query
+def digest_etc(spark, d):
+    return digest.other_labels(_current(spark, d)).select("label", "n")
+
+
+@query
+def digest_totals(spark, d):
+    return digest.totals(_current(spark, d), 5, 5)
+
+
+@query
+def digest_keywords(spark, d):
+    return digest.keywords(_current(spark, d))
+
+
+@query
+def tokens_title(spark, d):
+    n = views.notices(spark, d)
+    return n.select("item_idx", F.array_join(F.array_sort(T.title_tokens(F.col("title"))), " ").alias("tokens"))
+
+
+_WORDS = ("지원하는", "지원하며", "학교에서는", "사업에서의", "공고", "하는", "모집합니다", "선발되었습니다", "대학원으로", "입학", "장학금으로써")
+
+
+@query
+def tokens_strip_suffix(spark, d):
+    n = views.notices(spark, d).select("item_idx", F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("item_idx") % len(_WORDS) + 1).cast("int")).alias("word"))
+    return n.select("item_idx", "word", T.strip_suffix(F.col("word")).alias("stem"))
+
+
+@query
+def date_parse(spark, d):
+    raw = oracle.DATES
+    n = views.notices(spark, d).select("item_idx", F.element_at(F.array(*map(F.lit, raw)), (F.col("item_idx") % len(raw) + 1).cast("int")).alias("raw"))
+    return n.select("item_idx", "raw", T.parse_date(F.col("raw")).alias("day"))
+
+
+@query
+def category_classify(spark, d):
+    n = views.notices(spark, d)
+    return n.select("item_idx", T.classify(F.col("category")).alias("found"), T.canonical(F.col("category")).alias("name"), T.notice_category(F.col("category"), F.concat(F.col("category"), F.lit(" "), F.col("title"))).alias("notice_category"))
+
+
+@query
+def rights_gate(spark, d):
+    n = views.notices(spark, d)
+    return n.select("item_idx", T.tier(F.col("rights")).alias("tier"), T.badge(F.col("rights")).alias("badge"), T.allows_derivative(F.col("rights")).alias("derivative"))
+
+
+@query
+def text_clean(spark, d):
+    return views.notices(spark, d).select("item_idx", "summary")
+
+
+@query
+def collect_report(spark, d):
+    n = collect.collected(views.notices(spark, d), now=NOW, days=DAYS)
+    return collect.ranked(n, 50).select("rank", "item_idx", "agency", "published", "title", "summary")
+
+
+@query
+def collect_agency_filter(spark, d):
+    n = collect.collected(views.notices(spark, d), now=NOW, days=DAYS, agency="src1", mode="full")
+    return n.select("item_idx", "agency", "published", "summary")
+
+
+@query
+def collect_dedup(spark, d):
+    return collect.first_wins(views.notices(spark, d)).select("src_idx", "item_idx", "url")
+
+
+@query
+def collect_inherit(spark, d):
+    n = views.notices(spark, d)
+    s = n.groupBy("src_idx").agg(F.min("agency").alias("name")).select(
+        "src_idx", "name", F.concat(F.lit("O"), "src_idx").alias("org"), F.when(F.col("src_idx") % 2 == 0, F.concat(F.lit("S"), "src_idx")).otherwise("").alias("site"), F.array(F.lit("행사")).alias("topics")
+    )
+    bare = n.withColumn("unit", F.lit("")).withColumn("org", F.when(F.col("item_idx") % 5 == 0, F.col("org")).otherwise(""))
+    return collect.inherit(bare, s).select("item_idx", "unit", "org", "site", _array_text("topics"))
+
+
+@query
+def state_mark_new(spark, d):
+    n = _current(spark, d)
+    return collect.mark_new(n, _seen(views.notices(spark, d))).select("item_idx", "is_new")
+
+
+@query
+def state_only_new(spark, d):
+    n = _current(spark, d)
+    return collect.mark_new(n, _seen(views.notices(spark, d))).where("is_new").select("item_idx", "url")
+
+
+@query
+def state_merge(spark, d):
+    n = _current(spark, d)
+    now = n.where(F.col("agency") == "src3").select(T.dedup_key(F.col("url"), F.col("agency"), F.col("title")).alias("key"))
+    return collect.merge_state(now, _seen(views.notices(spark, d)), 200)
+
+
+@query
+def group_by_agency(spark, d):
+    n = _current(spark, d)
+    return n.groupBy("agency").agg(F.count(F.lit(1)).alias("n"), F.max("published").alias("latest"), F.count("published").alias("dated"))
+
+
+@query
+def group_by_topic(spark, d):
+    return digest.topics(_current(spark, d)).select("pos", "topic", "n")
+
+
+@query
+def group_by_org(spark, d):
+    return digest.organisations(_current(spark, d)).select("pos", "org", "site", "n", "org_n")
+
+
+@query
+def orders_by_region(spark, d):
+    return digest.organisations(views.order_notices(spark, d).withColumn("site", F.col("agency"))).select("pos", "org", "site", "n", "org_n")
+
+
+@query
+def weekly_counts(spark, d):
+    return digest.weekly(views.event_notices(spark, d))
+
+
+@query
+def weekly_trend(spark, d):
+    return digest.trend(digest.weekly(views.order_notices(spark, d), 40))
+
+
+@query
+def agency_activity(spark, d):
+    return digest.activity(views.order_notices(spark, d))
+
+
+@query
+def new_keywords(spark, d):
+    n = collect.mark_new(_current(spark, d), _seen(views.notices(spark, d)))
+    return digest.new_keywords(n)
+
+
+def _theme() -> relevance.Theme:
+    return relevance.Theme("english", (("first", {"the": ("with",), "and": ()}), ("second", {"tion": ("ing",), "장학": ("학자금",)}), ("third", {"채용": ("모집",), "복지": ()})))
+
+
+@query
+def relevance_scores(spark, d):
+    m = relevance.score(_current(spark, d), _theme())
+    return m.select("item_idx", "score", _array_text("matched"), "section")
+
+
+@query
+def relevance_sections(spark, d):
+    m = relevance.select(_current(spark, d), _theme(), 6)
+    return m.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+
+
+@query
+def relevance_select(spark, d):
+    m = relevance.select(_current(spark, d), _theme(), 6).orderBy(*relevance.order()).limit(40)
+    return m.select("item_idx", "score", "section")
+
+
+@query
+def brief_keywords(spark, d):
+    m = relevance.select(_current(spark, d), _theme(), 6)
+    counts = m.select(F.explode("matched").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return digest.top(counts, "word", 6)
+
+
+@query
+def cluster_groups(spark, d):
+    c = greedy.clusters(_current(spark, d))
+    return c.select("src_idx", "item_idx", "leader_src", "leader_item")
+
+
+@query
+def insight_issues(spark, d):
+    c = greedy.clusters(_current(spark, d))
+    groups = c.groupBy("leader_src", "leader_item").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("agency").alias("agencies")).where("n >= 2")
+    return groups.orderBy(F.desc("n"), "leader_src", "leader_item").limit(5)
+
+
+@query
+def brief_issues(spark, d):
+    m = greedy.clusters(relevance.select(_current(spark, d), _theme(), 6))
+    size = m.groupBy("leader_src", "leader_item").agg(F.count(F.lit(1)).alias("n"))
+    lead = relevance.leads(m.withColumn("_g", F.concat_ws("/", "leader_src", "leader_item")), "_g")
+    return lead.join(size, ["leader_src", "leader_item"]).orderBy(F.desc("score"), F.desc("n"), F.desc_nulls_last("published"), "title").limit(20).select("section", "score", "n", "title")
+
+
+@query
+def web_dedup(spark, d):
+    n = views.notices(spark, d)
+    title = F.lower(F.regexp_replace(F.col("title"), r"^(?:\s*(?:\[[^\]]{1,20}\]|\([^)]{1,20}\)))+\s*", ""))
+    keys = F.array(
+        F.concat(F.col("org"), F.lit("|u|"), T.dedup_key(F.col("url"), F.col("agency"), F.col("title"))),
+        F.when(F.col("published").isNotNull() & (title != ""), F.concat(F.col("org"), F.lit("|t|"), title, F.lit("|"), F.col("published").cast("string"))),
+    )
+    day = F.coalesce(F.date_diff(F.lit("9999-12-31").cast("date"), F.col("published")), F.lit(2**31 - 1))
+    order = F.struct(F.col("org").alias("org"), day.alias("day"), (~T.canonical(F.col("category")).isin(*rules.SPECIFIC)).alias("vague"), F.col("src_idx").alias("src"), F.col("item_idx").alias("item"))
+    return greedy.keep_first(n, keys, order).select("org", "item_idx")
+
+
+@query
+def web_rows(spark, d):
+    n = _current(spark, d)
+    unit = F.when(F.col("site").isin("") | (F.col("site") == F.col("org")), "").otherwise(F.col("site"))
+    return n.select("item_idx", "title", "url", F.date_format("published", "yyyy-MM-dd").alias("date"), digest.category_name().alias("group"), unit.alias("unit"))
+
+
+def _attempts(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    stage = F.pmod(F.col("event_id"), F.lit(5)).cast("int")
+    return e.select(
+        F.expr("event_id div 15").cast("int").alias("src_idx"),
+        F.element_at(F.array(*map(F.lit, ("보도자료", "공지", "채용"))), (F.expr("event_id div 5") % 3 + 1).cast("int")).alias("category"),
+        stage.alias("stage_ord"),
+        F.element_at(F.array(*map(F.lit, rules.STAGES)), stage + 1).alias("stage"),
+        (F.col("user_id") % 4 != 0).alias("robots_ok"),
+        (F.col("user_id") % 3 != 0).alias("fetched"),
+        (F.col("user_id") % 5).cast("int").alias("n_rows"),
+    )
+
+
+@query
+def cascade_first_success(spark, d):
+    return routes.first_success(_attempts(spark, d))
+
+
+@query
+def cascade_trail(spark, d):
+    return routes.trails(_attempts(spark, d))
+
+
+@query
+def plan_routes(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    rows = p.select(
+        (F.col("page_id") % 7).alias("org_id"),
+        (F.col("page_id") % 3).alias("group_ord"),
+        F.col("page_id").alias("pos"),
+        F.element_at(F.array(*map(F.lit, views.LABELS)), (F.col("page_id") % 12 + 1).cast("int")).alias("category"),
+        "url",
+    )
+    return routes.plan(rows)
+
+
+@query
+def fair_order(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    rows = p.select((F.col("page_id") % 5).alias("home"), F.element_at(F.array(*map(F.lit, views.LABELS)), (F.col("page_id") % 12 + 1).cast("int")).alias("label"), "url")
+    out = routes.fair_order(rows.withColumn("category", T.canonical(F.col("label"))))
+    return out.select("home", "place", "category", "url", "score")
+
+
+@query
+def board_score(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    label = F.element_at(F.array(*map(F.lit, views.LABELS)), (F.col("page_id") % 12 + 1).cast("int"))
+    return p.select("page_id", T.board_score(F.col("url"), label).cast("int").alias("score"))
+
+
+@query
+def dominant_category(spark, d):
+    n = views.notices(spark, d)
+    titles = n.select(F.col("org"), F.expr("item_idx div 40").alias("board"), F.when(F.col("item_idx") % 5 < 4, F.when(F.expr("item_idx div 40") % 2 == 0, "장학생 선발").otherwise("직원 채용")).otherwise(F.col("title")).alias("title"))
+    return routes.dominant(titles, "board")
+
+
+@query
+def bake_upsert(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    cache = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 9).alias("count"), F.lit("2024-01-01").cast("date").alias("checked"))
+    status = F.when(F.col("c_custkey") % 5 == 0, "timeout").when(F.col("c_custkey") % 7 == 0, "none").otherwise("ok")
+    found = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 11).alias("count"), F.lit("2024-02-01").cast("date").alias("checked"), status.alias("status"))
+    return routes.merge_cache(cache, found)
+
+
+@query
+def access_verdicts(spark, d):
+    p = spark.read.parquet(f"{d}/lineitem.parquet")
+    org = F.col("l_orderkey") % 500
+    checks = p.where("l_linenumber > 1").select(org.alias("org"), F.when(F.col("l_orderkey") % 500 % 9 == 0, "korea").otherwise("rss").alias("label"), F.col("l_returnflag").alias("url"), ((F.col("l_suppkey") + F.col("l_orderkey") % 500) % 3 != 0).alias("allowed"))
+    roots = p.where("l_linenumber = 1").select(org.alias("org"), (F.col("l_linestatus") == "O").alias("allowed"))
+    return routes.access(checks.where("org % 3 <> 0 or allowed"), roots)
+
+
+@query
+def external_urls(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", T.host(F.col("url")).alias("host"), T.is_external(F.col("url"), "www.example.com").alias("external"))
+
+
+@query
+def attachment_kind(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    url = F.concat(F.col("url"), F.element_at(F.array(*map(F.lit, ("", ".pdf", ".HWP", ".docx?x=1", ".zip#a", ".jpeg"))), (F.col("page_id") % 6 + 1).cast("int")))
+    return p.select("page_id", pages.attachment_kind(url).alias("kind"))
+
+
+@query
+def mined_urls(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", F.size(pages.literal_urls(F.col("html"))).alias("n"))
+
+
+@query
+def page_anchors(spark, d):
+    return pages.anchors(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@query
+def rss_rows(spark, d):
+    n = views.notices(spark, d)
+    esc = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><title>"), esc("title"), F.lit("</title><link>"), F.col("url"), F.lit("</link><pubDate>"), F.coalesce(F.col("published").cast("string"), F.lit("")), F.lit("</pubDate></item>"))
+    feed = F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>"))
+    return feeds.rss(n.select(F.col("item_idx").alias("src_idx"), F.encode(feed, "UTF-8").alias("bytes"))).select("src_idx", "title", "url", "published")
+
+
+@query
+def datago_rows(spark, d):
+    n = views.notices(spark, d).where("item_idx % 4 <> 0")
+    fields = F.struct(F.col("title").alias("nttSj"), F.col("url").alias("link"), F.col("published").cast("string").alias("regDate"))
+    one = F.to_json(F.struct(F.struct(F.struct(F.struct(fields.alias("item")).alias("items")).alias("body")).alias("response")))
+    many = F.to_json(F.struct(F.array(fields, fields).alias("data")))
+    return feeds.open_data(n.select(F.col("item_idx").alias("src_idx"), F.when(F.col("item_idx") % 2 == 0, one).otherwise(many).alias("json"))).select("src_idx", "item_idx", "title", "url", "published")
