@@ -1,45 +1,5 @@
-"""Tables written once to the folder that all executors share, to cut lineage.
+"""Tables in the shared folder; see ``noticeflow.storage``."""
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a session
-without that setting (tests in one process) gets a temporary folder of its own.
-"""
+from noticeflow.storage import drop, new_path, shared_dir, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a session that names none must be a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/noticeflow/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of ``df``, computed once and read from the shared folder from now on."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Removes tables of ``written`` that no later step reads."""
-    jvm = spark._jvm
-    for table in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "new_path", "shared_dir", "written"]
