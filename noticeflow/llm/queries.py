@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import decontaminate, lm_score, ngram_join, packing, pii, quality_rules, secret_scan, storage, toxicity, url_filter, warc
+from noticeflow.llm import decontaminate, lm_score, ngram_join, packing, pii, quality_rules, quality_sql, secret_scan, storage, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_quality_rules": quality_sql.sql(),
     "op2_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
