@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.functions import rules
+from noticeflow.functions import rules, urls
 from noticeflow.functions import text as T
 from noticeflow.operators import collect, digest, greedy, relevance, routes
 from noticeflow.plans import oracle, views
@@ -344,7 +344,7 @@ def external_urls(spark, d):
 @query
 def attachment_kind(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet")
-    url = F.concat(F.col("url"), F.element_at(F.array(*map(F.lit, ("", ".pdf", ".HWP", ".docx?x=1", ".zip#a", ".jpeg"))), (F.col("page_id") % 6 + 1).cast("int")))
+    url = F.concat(F.col("url"), F.element_at(F.array(*map(F.lit, ("", ".pdf", ".HWP", ".docx?x=1", ".zip#a", ".csv"))), (F.col("page_id") % 6 + 1).cast("int")))
     return p.select("page_id", pages.attachment_kind(url).alias("kind"))
 
 
@@ -375,3 +375,36 @@ def datago_rows(spark, d):
     one = F.to_json(F.struct(F.struct(F.struct(F.struct(fields.alias("item")).alias("items")).alias("body")).alias("response")))
     many = F.to_json(F.struct(F.array(fields, fields).alias("data")))
     return feeds.open_data(n.select(F.col("item_idx").alias("src_idx"), F.when(F.col("item_idx") % 2 == 0, one).otherwise(many).alias("json"))).select("src_idx", "item_idx", "title", "url", "published")
+
+
+@query
+def deep_links(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.deep_links(pages.anchors(p).withColumn("url", F.concat("url", F.when(F.col("pos") % 2 == 0, ".pdf").otherwise(""))))
+
+
+@query
+def url_shapes(spark, d):
+    known = oracle.URLS
+    u = views.notices(spark, d).select("item_idx", F.element_at(F.array(*map(F.lit, known)), (F.col("item_idx") % len(known) + 1).cast("int")).alias("url"))
+    url = F.col("url")
+    return u.select("item_idx", urls.looks_like_home(url).alias("home"), urls.looks_like_article(url).alias("article"), urls.looks_like_search(url).alias("search"))
+
+
+@query
+def alt_urls(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", F.array_join(urls.alternates(F.col("url")), " ").alias("urls"))
+
+
+@query
+def category_from_url(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    url = F.concat(F.col("url"), F.element_at(F.array(*map(F.lit, oracle.PATHS)), (F.col("page_id") % len(oracle.PATHS) + 1).cast("int")))
+    return p.select("page_id", urls.category_of(url).alias("category"))
+
+
+@query
+def audit_report(spark, d):
+    rows = routes.tried(_attempts(spark, d)).groupBy("src_idx", "category").agg(F.max(F.col("ok").cast("int")).alias("ok"), F.sum(F.when(F.col("ok"), F.col("n_rows")).otherwise(0)).alias("n"))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("boards"), F.count_if(F.col("ok") == 1).alias("connected"), F.sum("n").alias("rows"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from noticeflow.functions import rules
+from noticeflow.functions.korean import aliases
 from noticeflow.plans.views import LABELS, NOTICES_SQL, ORDERS_SQL
 
 NOW, DAYS = "2024-06-30", 180
@@ -99,6 +100,15 @@ def _date() -> str:
     ) + " END"
 
 
+#: Addresses and what each is.
+URL_SHAPES = (
+    ("https://a.kr/", "home"), ("https://a.kr/index.do", "home"), ("https://a.kr/base/main/view", "home"), ("https://a.kr/kor/", "home"), ("https://a.kr/x?pCode=main", "home"),
+    ("https://a.kr/index.do?menuNo=3", "board"), ("https://a.kr/main/163", "board"), ("https://a.kr/bbs/list.do", "board"), ("https://a.kr/s/1/subview.do", "board"),
+    ("https://a.kr/bbs/s/1/2/artclView.do", "article"), ("https://a.kr/b.php?bo=1&wr_id=12", "article"), ("https://a.kr/n/view.do?no=1", "article"), ("https://a.kr/blog/a-title/", "article"),
+    ("https://a.kr/s/1/subview.do?enc=Zm5jdDF8QEB8L2Jicy9zLzEvMi9hcnRjbFZpZXcuZG8", "article"), ("https://a.kr/web/search.do?q=x", "search"),
+)
+URLS = tuple(u for u, _ in URL_SHAPES)
+PATHS = ("/gongji/list.do", "/news/haksa.jsp", "/x?bid=1", "/chaeyong#job", "/janghak/", "", "/press/1")
 _WORDS = ("지원하는", "지원하며", "학교에서는", "사업에서의", "공고", "하는", "모집합니다", "선발되었습니다", "대학원으로", "입학", "장학금으로써")
 
 
@@ -195,10 +205,19 @@ SQL = {
         SELECT org, CAST(paths AS BIGINT) AS paths, CAST(allowed AS BIGINT) AS allowed, CASE WHEN paths > 0 AND own = 0 THEN 'korea_only' WHEN paths > 0 AND allowed = paths THEN 'full' WHEN allowed > 0 THEN 'partial' WHEN root THEN 'paths' ELSE 'blocked' END AS verdict FROM j""",
     "external_urls": f"""WITH h AS (SELECT page_id, {HOST} AS host FROM pages), b AS (SELECT *, regexp_replace(host, '^www\\.', '') AS bare FROM h)
         SELECT page_id, host, {' OR '.join(f"bare = '{x}' OR bare LIKE '%.{x}'" for x in rules.EXTERNAL_HOSTS)} OR NOT (bare = 'example.com' OR bare LIKE '%.example.com') AS external FROM b""",
-    "attachment_kind": """WITH u AS (SELECT page_id, lower(url || (['', '.pdf', '.HWP', '.docx?x=1', '.zip#a', '.jpeg'])[1 + page_id % 6]) AS url FROM pages)
-        SELECT page_id, CASE WHEN regexp_matches(url, '\\.(hwpx?|hml)($|[?#])') THEN 'hwp' WHEN regexp_matches(url, '\\.pdf($|[?#])') THEN 'pdf' WHEN regexp_matches(url, '\\.docx?($|[?#])') THEN 'doc'
-            WHEN regexp_matches(url, '\\.xlsx?($|[?#])') THEN 'xls' WHEN regexp_matches(url, '\\.pptx?($|[?#])') THEN 'ppt' WHEN regexp_matches(url, '\\.zip($|[?#])') THEN 'zip'
-            WHEN regexp_matches(url, '\\.(jpe?g|png|gif)($|[?#])') THEN 'image' ELSE '' END AS kind FROM u""",
+    "attachment_kind": """WITH u AS (SELECT page_id, lower(url || (['', '.pdf', '.HWP', '.docx?x=1', '.zip#a', '.csv'])[1 + page_id % 6]) AS url FROM pages)
+        SELECT page_id, CASE WHEN regexp_matches(url, '\\.pdf($|[?#])') THEN 'PDF' WHEN regexp_matches(url, '\\.hwpx?($|[?#])') THEN 'HWP' WHEN regexp_matches(url, '\\.docx?($|[?#])') THEN 'DOC'
+            WHEN regexp_matches(url, '\\.xlsx?($|[?#])') THEN 'XLS' WHEN regexp_matches(url, '\\.pptx?($|[?#])') THEN 'PPT' WHEN regexp_matches(url, '\\.zip($|[?#])') THEN 'ZIP'
+            WHEN regexp_matches(url, '\\.csv($|[?#])') THEN 'CSV' ELSE '' END AS kind FROM u""",
+    "url_shapes": f"""WITH u AS (SELECT doc_id AS item_idx, ({_list(URLS)})[1 + doc_id % {len(URLS)}] AS url FROM documents)
+        SELECT item_idx, url IN ({', '.join(_s(u) for u, s in URL_SHAPES if s == 'home')}) AS home, url IN ({', '.join(_s(u) for u, s in URL_SHAPES if s == 'article')}) AS article,
+               url IN ({', '.join(_s(u) for u, s in URL_SHAPES if s == 'search')}) AS search FROM u""",
+    "alt_urls": f"""WITH u AS (SELECT page_id, regexp_extract(url, '^([a-z]+://)', 1) AS s, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS r FROM pages)
+        SELECT page_id, CASE WHEN starts_with(h, 'www.') THEN s || 'm.' || h[5:] || r || ' ' || s || h[5:] || r ELSE s || 'www.' || h || r END AS urls FROM u""",
+    "category_from_url": f"""WITH u AS (SELECT page_id, split_part(split_part(url || ({_list(PATHS)})[1 + page_id % {len(PATHS)}], '?', 1), '#', 1) AS path FROM pages)
+        SELECT page_id, CASE {' '.join("WHEN " + " OR ".join(f"contains(lower(path), {_s(a)})" for w in words for a in ((w,) if w.isascii() else aliases(w))) + f" THEN {_s(n)}" for n, words in rules.CATEGORY_HINTS)} ELSE '{rules.OTHER}' END AS category FROM u""",
+    "audit_report": f"""WITH {ATTEMPTS}, t AS (SELECT src_idx, category, max(CAST(ok AS INTEGER)) AS ok, sum(CASE WHEN ok THEN n_rows ELSE 0 END) AS n FROM w WHERE winner IS NULL OR stage_ord <= winner GROUP BY 1, 2)
+        SELECT category, count(*) AS boards, count_if(ok = 1) AS connected, CAST(sum(n) AS BIGINT) AS rows FROM t GROUP BY category""",
     "mined_urls": """SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '["''](https?://[^"''\\s<>]+)["'']', 1))) AS INTEGER) AS n FROM pages""",
     "rss_rows": f"WITH {NOTICES_SQL} SELECT CAST(item_idx AS INTEGER) AS src_idx, trim(title) AS title, url, published FROM n WHERE title <> ''",
     "datago_rows": f"""WITH {NOTICES_SQL} SELECT item_idx AS src_idx, k AS item_idx, trim(title) AS title, url, published FROM n, unnest(CASE WHEN item_idx % 2 = 0 THEN [0] ELSE [0, 1] END) AS t(k) WHERE item_idx % 4 <> 0 AND title <> ''""",

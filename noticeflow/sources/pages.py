@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _QUIET = {"script", "style", "noscript", "template"}
@@ -119,7 +119,10 @@ def boards(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(_each(board_rows, ["page_id", "pos", "title", "url", "date"]), schema)
 
 
-_KINDS = (("hwp", "hwpx?|hml"), ("pdf", "pdf"), ("doc", "docx?"), ("xls", "xlsx?"), ("ppt", "pptx?"), ("zip", "zip"), ("image", "jpe?g|png|gif"))
+_KINDS = (("PDF", "pdf"), ("HWP", "hwpx?"), ("DOC", "docx?"), ("XLS", "xlsx?"), ("PPT", "pptx?"), ("ZIP", "zip"), ("CSV", "csv"))
+#: Words, in label or address, of links to related files; and labels that name nothing.
+LINK_HINTS = ("첨부", "붙임", "다운로드", "download", "관련자료", "관련 자료", "filedown", "file_down")
+NOISE_LABELS = ("", "바로가기", "more", "더보기", "목록", "이전", "다음", "인쇄", "공유")
 
 
 def attachment_kind(url: Column) -> Column:
@@ -130,6 +133,25 @@ def attachment_kind(url: Column) -> Column:
     return out
 
 
+def deep_links(links: DataFrame, most: int = 5) -> DataFrame:
+    """The first links of each page to related files: (page_id, place, label, url, kind).
+
+    ``links`` are anchors; a label that names nothing gives way to the file's name.
+    """
+    label = F.substring(F.trim("text"), 1, 60)
+    label = F.when(F.lower(label).isin(*NOISE_LABELS), "").otherwise(label)
+    text = F.lower(F.concat_ws(" ", "url", "label"))
+    hinted = F.lit(False)
+    for hint in LINK_HINTS:
+        hinted = hinted | text.contains(hint)
+    kind = attachment_kind(F.col("url"))
+    name = F.substring(F.element_at(F.split(F.element_at(F.split("url", r"[?#]"), 1), "/"), -1), 1, 60)
+    rows = links.withColumn("label", label).withColumn("kind", F.when(kind != "", kind).when(hinted, "링크")).where("kind is not null")
+    rows = rows.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), F.nullif(name, F.lit("")), F.lit("첨부")))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("page_id", "place", "label", "url", "kind")
+
+
 def literal_urls(html: Column) -> Column:
     """Distinct quoted http addresses in a page's source."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"[\"'](https?://[^\"'\s<>]+)[\"']"), F.lit(1)))
