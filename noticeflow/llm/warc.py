@@ -78,7 +78,10 @@ def _record_id(key: Column, digest: Column) -> Column:
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: Column | None = None, *, min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One column ``value`` per row: a whole WARC record less its last CRLF."""
     body = payload if payload is not None else F.col("html")
-    rows = with_revisits(pages, key, body, min_bytes)
+    # Only these columns go on, so that no other column can clash with the helpers.
+    pages = pages.select(F.col(key).alias("_id"), F.col(url).alias("_url"), body.alias("_body"))
+    key, url = "_id", "_url"
+    rows = with_revisits(pages, key, F.col("_body"), min_bytes)
     again = F.col("_first").isNotNull()
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     uri = F.regexp_replace(F.col(url), r"[\x00-\x20\x7f]", "%20")

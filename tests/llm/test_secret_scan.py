@@ -29,7 +29,7 @@ def test_base_matches(spark):
         assert r.base_sha256 == hashlib.sha256(base(TEXTS[r.doc_id]).encode()).hexdigest()
         assert set(filter(None, base(TEXTS[r.doc_id]).split(","))) <= set(r.spans.split(","))
     spans = {r.doc_id: r.spans for r in rows}
-    assert spans[3] == "entropy_mixed:6:41" and spans[4] == "" and spans[5] == ""
+    assert spans[3] == "entropy_mixed:6:40" and spans[4] == "" and spans[5] == ""
 
 
 def test_peak_entropy_is_the_highest_window(spark):
