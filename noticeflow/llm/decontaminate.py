@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared with A-Z lower-cased and ASCII punctuation as white space.  The document
-frequency of every n-gram of the test items is counted over the whole corpus, and the
-rarest share of each item's n-grams are its seeds, so that an item keeps seeds however often
-it was copied.  A passage that holds enough seeds of an item is aligned with it; the score
-is the local alignment score over that of the item with itself.
+Words are compared with A-Z lower-cased and ASCII punctuation as white space.  Every n-gram
+of an item is a seed, common or rare, as those that an edited copy keeps may be any of them.
+A passage that holds enough seeds of an item is aligned with it, unless too few of the
+item's words are in it for the threshold; the score is the local alignment score over that
+of the item with itself.
 
 Items are taken in blocks of bounded size, each against all documents; the seeds of one
 block are all that is sent to the executors, and texts are never moved.
@@ -32,10 +32,9 @@ PLAIN[[ord(c) for c in string.punctuation]] = 0x20
 
 @dataclass(frozen=True)
 class Align:
-    """Seed length, share of rarest n-grams kept, seeds that a passage needs, and scores."""
+    """Seed length, seeds that a passage needs, and scores."""
 
     n: int = 3
-    rarest: float = 0.7
     seeds: int = 2
     match: int = 2
     mismatch: int = -1
@@ -92,33 +91,10 @@ class _Items:
         self.owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
 
 
-def _frequencies(grams: np.ndarray, n: int):
-    known = np.unique(grams)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for chunk in tv.chunks(batch.column(0), PLAIN):
-                value, first = _grams(chunk, n)
-                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                hit = known[at] == value
-                pairs = np.unique(chunk.row[first[hit]].astype(np.int64) * len(known) + at[hit])
-                counts += np.bincount(pairs % len(known), minlength=len(known))
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(known[at].view(np.int64)), pa.array(counts[at])], names=["gram", "n"])
-
-    return run
-
-
-def _seeds(items: _Items, counts: dict[int, int], share: float) -> tuple[np.ndarray, np.ndarray]:
+def _seeds(items: _Items) -> tuple[np.ndarray, np.ndarray]:
     """Sorted seed hashes and the items they belong to."""
-    df = np.array([counts.get(int(g), 0) for g in items.grams.view(np.int64)], np.int64)
-    order = np.lexsort((items.grams, df, items.owners))
-    rank = np.arange(len(order)) - np.searchsorted(items.owners[order], items.owners[order])
-    size = np.bincount(items.owners, minlength=len(items.ids))[items.owners[order]]
-    kept = order[rank < np.ceil(share * size)]
-    kept = kept[np.argsort(items.grams[kept], kind="stable")]
-    return items.grams[kept], items.owners[kept]
+    order = np.argsort(items.grams, kind="stable")
+    return items.grams[order], items.owners[order]
 
 
 def _matches(items: _Items, seeds: np.ndarray, owners: np.ndarray, conf: Align):
@@ -150,7 +126,11 @@ def _matches(items: _Items, seeds: np.ndarray, owners: np.ndarray, conf: Align):
                     continue
                 lo = max(int(begin[row]), int(group[0]) - 2 * size)
                 hi = min(int(begin[row + 1]), int(group[-1]) + 2 * size + conf.n)
-                got, end = smith_waterman(items.words[item], chunk.hashes[lo:hi], conf)
+                passage = chunk.hashes[lo:hi]
+                # An alignment matches each word of the item once at most.
+                if conf.match * np.isin(items.words[item], passage).sum() < conf.threshold * most[item]:
+                    continue
+                got, end = smith_waterman(items.words[item], passage, conf)
                 best = max(best, (got, lo + end - int(begin[row]), hi - lo))
             if best[0] >= conf.threshold * most[item]:
                 yield row, item, best[0] / most[item], best[1], size
@@ -175,8 +155,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         block = _Items(own["_item"].to_pylist(), own["_text"].combine_chunks(), conf.n)
         if not block.ids:
             continue
-        counted = docs.select("_text").mapInArrow(_frequencies(block.grams, conf.n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        seeds, owners = _seeds(block, {r["gram"]: r["n"] for r in counted.collect()}, conf.rarest)
+        seeds, owners = _seeds(block)
         found = docs.mapInArrow(_run(block, seeds, owners, conf, key, item), schema)
         out = found if blocks == 1 else out.unionByName(found)
     return out

@@ -60,6 +60,15 @@ def test_an_item_in_every_document_keeps_its_seeds(spark, words):
     assert found.count() == 50
 
 
+def test_a_copy_edited_in_every_fourth_word_is_found(spark, words):
+    rng = random.Random(7)
+    item = rng.sample(words, 32)
+    copy = [f"edited{i}" if i % 4 == 3 else w for i, w in enumerate(item)]
+    docs = [(i, " ".join([rng.choice(words) for _ in range(40)] + (copy if i == 0 else []))) for i in range(30)]
+    found = d.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(0, 1)] and 0.6 < found[0].score < 0.7
+
+
 def test_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "one two three"), (2, None), (3, "quite another set of words here")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in d.find(odd, items).collect()] == [(4, 1), (4, 1)]
