@@ -49,6 +49,20 @@ def test_matches_brute_force(spark, words):
         assert r.n_tokens == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-5
 
 
+def test_every_word_is_in_the_model(spark):
+    """3,000 words, each seen as often as any: no two documents may look alike."""
+    docs = [(i, " ".join(f"w{(7 * i + j) % 3000}" for j in range(20))) for i in range(600)]
+    good = {i for i, _ in docs if i % 3 == 0}
+    whole = brute(docs, good, lm_score.Conf(words=3000))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i,) for i in good], "doc_id long")
+
+    def same(got):
+        return len(got) == 600 and all(r.n_tokens == whole[r.doc_id][0] and abs(r.score - whole[r.doc_id][1]) < 1e-5 for r in got)
+
+    assert same(lm_score.score(*frames).collect())
+    assert same(lm_score.score(*frames, conf=lm_score.Conf(block=9_000)).collect())
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     got = lm_score.score(odd, odd.select("doc_id").limit(0)).collect()
     assert len(got) == len(odd_rows)
