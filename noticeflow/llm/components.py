@@ -7,6 +7,7 @@ stays short and a lost executor costs one round at most.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,19 +42,22 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for each node that has an edge; root is the least node it can reach.
 
     ``edges`` has two long columns.  Loops and repeated edges are allowed.  No edges: no rows.
+    Rounds go on until nothing changes; a limit on them is an error when it is met.
     """
     a, b = edges.columns
     small = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     now = written(small.mapInArrow(_local, "u long, v long").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    for done in count(1):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
         if state == seen:
             break
+        if rounds is not None and done > rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

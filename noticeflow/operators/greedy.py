@@ -3,11 +3,14 @@
 A sequential scan that keeps an item unless an earlier kept item excludes it gives the
 first independent set in that order.  In each round the items all of whose earlier rivals
 are decided decide themselves; the number of rounds is the longest chain of such waits, not
-the number of items.  Rounds are written to the shared folder.
+the number of items.  Rounds go on until all are decided; a caller's own limit on them is an
+error when it is met.  Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +18,24 @@ from noticeflow.functions import text as T
 from noticeflow.storage import drop, written
 
 
-def keep_first(rows: DataFrame, keys: Column, order: Column, rounds: int = 200) -> DataFrame:
+def _open(now: DataFrame, done: int, rounds: int | None) -> bool:
+    """Whether another round is needed after this one."""
+    left = not now.where("state = 0").isEmpty()
+    if left and rounds is not None and done >= rounds:
+        raise RuntimeError(f"rows are still undecided after {rounds} rounds")
+    return left
+
+
+def keep_first(rows: DataFrame, keys: Column, order: Column, rounds: int | None = None) -> DataFrame:
     """Rows kept by a scan in ``order`` that drops a row if any of its keys was kept before.
 
     ``keys`` is an array (nulls and duplicates in it do not count); only kept rows add
     their keys.  Each round is one aggregate per key, so groups of rows that share a key
     are never paired or gathered.  ``order`` must be unique.
     """
-    own = F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
+    own = F.coalesce(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())), F.array())
     now = written(rows.select(order.alias("at"), own.alias("keys"), F.when(F.size(own) == 0, 1).otherwise(0).alias("state")), "greedy")
-    for _ in range(rounds):
+    for done in count(1):
         each = now.select("at", "state", F.explode("keys").alias("key"))
         heads = each.groupBy("key").agg(F.min(F.when(F.col("state") == 1, F.col("at"))).alias("kept"), F.min(F.when(F.col("state") == 0, F.col("at"))).alias("open"))
         seen = each.where("state = 0").join(heads, "key").groupBy("at").agg(F.bool_or(F.col("kept").isNotNull()).alias("lost"), F.bool_and(F.col("open") == F.col("at")).alias("first"))
@@ -32,23 +43,23 @@ def keep_first(rows: DataFrame, keys: Column, order: Column, rounds: int = 200)
         after = written(now.join(seen, "at", "left").select("at", "keys", state.alias("state")), "greedy")
         drop(rows.sparkSession, now)
         now = after
-        if now.where("state = 0").isEmpty():
+        if not _open(now, done, rounds):
             break
     kept = now.where("state = 1").select(F.col("at").alias("_at"))
     return rows.withColumn("_at", order).join(kept, "_at", "left_semi").drop("_at")
 
 
-def _first_leaders(classes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+def _first_leaders(classes: DataFrame, edges: DataFrame, rounds: int | None) -> DataFrame:
     """Ids of the classes that lead: no earlier leader is near. Edges go (earlier, later)."""
     now = written(classes.select("id", F.lit(0).alias("state")), "leaders")
-    for _ in range(rounds):
+    for done in count(1):
         rivals = edges.join(now.withColumnRenamed("id", "earlier").withColumnRenamed("state", "rival"), "earlier")
         seen = rivals.groupBy(F.col("later").alias("id")).agg(F.max((F.col("rival") == 1).cast("int")).alias("led"), F.max((F.col("rival") == 0).cast("int")).alias("waits"))
         state = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("led", F.lit(0)) == 1, 2).when(F.coalesce("waits", F.lit(0)) == 0, 1).otherwise(0)
         after = written(now.join(seen, "id", "left").select("id", state.alias("state")), "leaders")
         drop(classes.sparkSession, now)
         now = after
-        if now.where("state = 0").isEmpty():
+        if not _open(now, done, rounds):
             break
     return now.where("state = 1").select("id")
 
@@ -71,7 +82,7 @@ def near_sets(sets: DataFrame) -> DataFrame:
     return sized.where("2 * k >= u").select("a", "b", "k", "u")
 
 
-def clusters(notices: DataFrame, rounds: int = 200) -> DataFrame:
+def clusters(notices: DataFrame, rounds: int | None = None) -> DataFrame:
     """``notices`` (src_idx, item_idx unique) with leader_src, leader_item: leader clustering.
 
     In the order of date (newest first, none last), title and source, an item joins the most

@@ -82,6 +82,12 @@ def test_subset_keys_and_boundary():
     assert ngram_join.boundary(conf, {5: 1000, 6: 1000}, 50.0) >= 6
 
 
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long").repartition(8)
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 7), (1, 2), (2, 1), (3, 20), (20, 21), (21, 22), (22, 4), (4, 3)]
     chain = [(100 + i, 101 + i) for i in range(40)]

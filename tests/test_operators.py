@@ -55,6 +55,13 @@ def test_keep_first_is_the_scan(spark):
     assert {r.i for r in greedy.keep_first(df, F.array("u", "t"), F.col("i")).collect()} == want
 
 
+def test_a_chain_of_waits_is_decided_or_an_error(spark):
+    rows = spark.createDataFrame([(i, [f"k{i}", f"k{i + 1}"]) for i in range(9)] + [(9, None)], "i int, keys array<string>")
+    assert {r.i for r in greedy.keep_first(rows, F.col("keys"), F.col("i")).collect()} == {0, 2, 4, 6, 8, 9}
+    with pytest.raises(RuntimeError):
+        greedy.keep_first(rows, F.col("keys"), F.col("i"), rounds=2)
+
+
 def test_clusters_are_the_scan(spark):
     rng = random.Random(4)
     vocabulary = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)]
