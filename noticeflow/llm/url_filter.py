@@ -3,9 +3,13 @@
 A rule fits its host and all subdomains when the path starts with the rule's path; of the
 rules that fit, the longest wins.  Other URLs get the verdict of a model that is trained
 from a small labelled table by stochastic gradient descent, written as one SQL aggregate
-over the rows of that table, and applied as SQL expressions.  No Python runs per row.
+over the rows of that table, and applied as SQL expressions.  No Python runs per row.  The
+table is made by rule from words of hosts and from paths; no host of it is one of the rules'.
 
 A null URL, or one without ``://``, has empty host and path and gets the model's verdict.
+Rows are kept one for one, repeated or not; an empty table gives an empty result.  Columns
+named host, path, rule, verdict or block_score give way to the results.  Of rules of equal
+length that both fit, the last by code points wins.
 """
 
 from __future__ import annotations
@@ -26,41 +30,40 @@ RULES = (
     ("block", "org/es/"),
 )
 
-#: Labelled URLs, 1 for those to block.
-SEED_URLS = (
-    ("https://ads.tracker-click.biz/banner/track?id=9", 1),
-    ("http://adserver.popups.info/click/ad_728x90.gif", 1),
-    ("https://casino-bonus.win/free-spins/slots", 1),
-    ("http://best-casino.bet/poker/bonus", 1),
-    ("https://cheap-pills.pharma-deals.biz/viagra/order", 1),
-    ("http://xxx-videos.adult-cams.xyz/porn/live", 1),
-    ("https://track.affiliate-offers.click/redirect/offer", 1),
-    ("http://spam-seo-links.top/buy-backlinks/", 1),
-    ("https://download-crack.warez.ru/keygen/serial", 1),
-    ("http://free-movies-torrent.to/download/torrent", 1),
-    ("https://login-verify.account-secure.top/signin/verify", 1),
-    ("http://win-prize.lottery-claim.xyz/claim/prize", 1),
-    ("https://pixel.adnetwork.click/impression/banner", 1),
-    ("http://replica-watches.shop-discount.biz/sale/order", 1),
-    ("https://payday-loans.fastcash.win/apply/loan", 1),
-    ("http://hot-singles.dating-cams.xyz/adult/chat", 1),
-    ("https://www.example.org/en/1204", 0),
-    ("http://blog.example.net/fr/20117.html", 0),
-    ("https://news.example.com/es/3310?page=2", 0),
-    ("https://m.example.org/de/771/", 0),
-    ("http://docs.example.net/en/12", 0),
-    ("https://en.wikipedia.org/wiki/Statistics", 0),
-    ("https://www.university.edu/research/papers/2021", 0),
-    ("http://library.city.gov/notices/archive/15", 0),
-    ("https://journal.science.org/articles/volume/12", 0),
-    ("https://www.museum.org/collection/history", 0),
-    ("https://docs.python.org/3/library/json.html", 0),
-    ("http://weather.service.gov/forecast/today", 0),
-    ("https://www.school.edu/admissions/calendar", 0),
-    ("https://www.recipes.com/bread/rye", 0),
-    ("http://forum.gardening.net/thread/4312", 0),
-    ("https://www.newspaper.co.uk/world/2022/05/story", 0),
-)
+#: Words of hosts that are blocked, and of hosts that are not; paths that both kinds have,
+#: and paths of one kind.
+BAD_WORDS = (
+    "casino", "poker", "slots", "jackpot", "bets", "betting", "free-spins", "lottery", "win-prize", "pills", "cheap-meds", "viagra", "replica", "adult",
+    "porn", "xxx", "cams", "escort", "ads", "adserver", "banner-ads", "tracker", "track-click", "popunder", "spam", "link-farm", "backlinks", "warez",
+    "torrent", "crack-keygen", "payday-loan", "fast-cash", "account-verify", "claim-bonus", "cheap-watches", "dating-hot",
+)
+GOOD_WORDS = (
+    "library", "museum", "university", "school", "weather", "science", "history", "garden", "recipes", "kitchen", "forum", "journal", "gazette", "council",
+    "hospital", "transport", "archive", "wiki", "docs", "research", "theatre", "orchestra", "football", "cycling", "travel", "hotel", "village", "station",
+    "engineering", "software", "metro", "press", "theatrics", "notion", "nation", "thorn", "throne", "heather", "other", "thing", "retina", "linen",
+)
+PLAIN_PATHS = ("/en/{n}", "/fr/{n}.html", "/de/{n}/", "/2021/{n}/story", "/", "/index.html", "/es/{n}?page=2")
+BAD_PATHS = ("/click/{n}", "/banner/{n}.gif", "/bonus/order/{n}", "/redirect?offer={n}")
+GOOD_PATHS = ("/article/{n}", "/library/book/{n}", "/notices/{n}", "/papers/{n}.pdf")
+
+
+def seed_urls() -> tuple[tuple[str, int], ...]:
+    """The labelled table, (url, 1 for those to block): each word in two hosts, by rule."""
+    ends, fronts = ("com", "net", "org", "info"), ("", "www.", "blog.", "m.")
+    out = []
+    for label, words, own in ((1, BAD_WORDS, BAD_PATHS), (0, GOOD_WORDS, GOOD_PATHS)):
+        for i, word in enumerate(words):
+            paths = (*PLAIN_PATHS, *own)
+            for k, host in enumerate((word, f"{word}{'-' if label else ''}{words[(5 * i + 7) % len(words)]}")):
+                j = 2 * i + k
+                path = paths[(3 * j) % len(paths)].format(n=(37 * j) % 991)
+                out.append((f"http{'s' * (j % 2)}://{fronts[(j // 2) % 4]}{host}.{ends[(i + k) % 4]}{path}", label))
+    # In turn, so that the descent sees both labels all along.
+    bad, good = ([r for r in out if r[1] == label] for label in (1, 0))
+    return tuple(r for i in range(max(len(bad), len(good))) for side in (bad, good) for r in side[i : i + 1])
+
+
+SEED_URLS = seed_urls()
 
 
 @dataclass(frozen=True)
@@ -68,11 +71,11 @@ class Training:
     """n-gram length, buckets, passes over the labelled table, step and decay."""
 
     n: int = 4
-    buckets: int = 512
-    epochs: int = 12
-    step: float = 0.3
+    buckets: int = 8192
+    epochs: int = 20
+    step: float = 0.1
     decay: float = 1e-4
-    threshold: float = 0.6
+    threshold: float = 0.5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -111,31 +114,38 @@ def buckets(host: Column, path: Column, t: Training = Training()) -> Column:
 
 
 def train(spark: SparkSession, labelled=SEED_URLS, t: Training = Training()) -> list[float]:
-    """Bias and weights, from labelled rows (url, 0 or 1).
+    """Bias and weights, from labelled rows (url, 0 or 1), by stochastic gradient descent.
 
-    The table is small by its nature: it is written by hand, one entry for each row.
+    The table is small by its nature: it is written by hand or by rule.  Weights are sums of
+    rows, so the descent keeps one factor for each row, and what it needs of the rows is how
+    many buckets any two share; the number of buckets costs nothing.
     """
     host, path = host_and_path(F.col("url"))
     rows = spark.createDataFrame([(i, u, float(y)) for i, (u, y) in enumerate(labelled)], "i int, url string, y double").select(
         "i", "y", buckets(host, path, t).alias("x")
     )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(t.buckets - 1)), lambda k: F.array_contains(F.col("x"), k.cast("int")).cast("double"))
-    rows = rows.select("i", "y", F.concat(F.array(F.lit(1.0)), dense).alias("x"))
     table = rows.agg(F.array_sort(F.collect_list(F.struct("i", "y", "x"))).alias("rows"))
+    # Every row holds the bias, too.
+    shared = F.transform("rows", lambda r: F.struct(r["i"].alias("i"), r["y"].alias("y"), F.transform("rows", lambda s: F.size(F.array_intersect(r["x"], s["x"])) + 1).alias("k")))
+    table = table.withColumn("met", shared)
 
-    def step(w: Column, r: Column) -> Column:
-        z = F.aggregate(F.zip_with(w, r["x"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    def step(factors: Column, r: Column) -> Column:
+        z = F.aggregate(F.zip_with(factors, r["k"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return let(
             (r["y"] - 1.0 / (1.0 + F.exp(-z))) * t.step,
-            lambda g: F.zip_with(w, r["x"], lambda a, b: a * (1.0 - t.decay) + g * b),
+            lambda g: F.transform(factors, lambda a, j: a * (1.0 - t.decay) + F.when(j == r["i"], g).otherwise(0.0)),
         )
 
-    weights = F.aggregate(
-        F.flatten(F.array_repeat(F.col("rows"), t.epochs)),
-        F.array_repeat(F.lit(0.0), t.buckets + 1),
-        step,
-    )
-    return list(table.select(weights.alias("w")).head()["w"])
+    factors = F.aggregate(F.flatten(F.array_repeat(F.col("met"), t.epochs)), F.transform("rows", lambda _: F.lit(0.0)), step)
+    each = table.withColumn("f", factors).select(F.explode(F.arrays_zip("rows", "f")).alias("r")).select("r.f", "r.rows.x")
+    parts = each.select("f", F.explode(F.concat(F.array(F.lit(-1)), "x")).alias("k"))
+    # One row for each bucket at most comes to the driver.
+    found = {r["k"]: r["w"] for r in parts.groupBy("k").agg(F.sum("f").alias("w")).collect()}
+    return [found.get(k, 0.0) for k in range(-1, t.buckets)]
+
+
+def _literal(values: list[float]) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, labelled=SEED_URLS, t: Training = Training()) -> DataFrame:
@@ -146,7 +156,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, labelled=SEED_URLS, t
     total = F.aggregate(
         buckets(F.col("host"), F.col("path"), t),
         F.lit(w[0]),
-        lambda s, k: s + F.element_at(F.lit(w[1:]), k + 1),
+        lambda s, k: s + F.element_at(_literal(w[1:]), k + 1),
     )
     hit = rule_for(F.col("host"), F.col("path"), rules)
     return (

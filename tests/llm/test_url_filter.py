@@ -43,3 +43,28 @@ def test_model_is_the_gradient_descent(spark):
 def test_seeds_are_learned(spark):
     rows = u.judge(spark.createDataFrame(list(u.SEED_URLS), "url string, y int"), rules=()).collect()
     assert all((r.verdict == "block") == bool(r.y) for r in rows)
+
+
+#: Hosts and words that the seeds do not hold as they are here.
+UNSEEN = (
+    ("https://casino-win.example.com/en/12", 1), ("http://www.free-bets.example.net/fr/80?page=2", 1), ("https://cheap-pills.example.org/es/7", 1),
+    ("http://spam-farm.example.com/en/9", 1), ("https://ads-track.example.net/en/33.html", 1), ("http://adult-x.example.com/fr/3", 1),
+    ("https://pokerroom.io/join", 1), ("http://trackers.co/click/88", 1), ("https://big-jackpots.eu/en/1", 1), ("http://mytorrents.se/en/5", 1),
+    ("https://city-library.gov/en/12", 0), ("http://www.oldmuseum.example.org/fr/3.html", 0), ("https://ththon.example.com/en/9", 0), ("http://blog.tionble.example.net/de/77", 0),
+    ("https://universities.example.com/papers/1.pdf", 0), ("http://m.therou.example.net/en/4", 0), ("https://gardens.example.com/", 0), ("https://schoolnews.org/notices/3", 0),
+    ("http://bakery.fr/en/20", 0), ("https://mountains.example.org/2021/3/story", 0),
+)
+
+
+def test_unseen_hosts(spark):
+    rows = u.judge(spark.createDataFrame(list(UNSEEN), "url string, y int"), rules=()).collect()
+    wrong = [r.url for r in rows if (r.verdict == "block") != bool(r.y)]
+    assert len(wrong) <= 2, wrong
+
+
+def test_the_model_blocks_pages(spark, sf):
+    rows = u.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null").collect()
+    bad = [r for r in rows if __import__("re").search("casino|bets|pills|ads-|spam|adult", r.host)]
+    caught = sum(r.verdict == "block" for r in bad)
+    stray = sum(r.verdict == "block" for r in rows) - caught
+    assert caught >= 0.9 * len(bad) > 0 and stray <= 0.02 * len(rows)
