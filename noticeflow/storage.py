@@ -6,6 +6,8 @@ without that setting (tests in one process) gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -24,8 +26,38 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_cleaned: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/noticeflow/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/noticeflow/{label}-{uuid.uuid4().hex}"
+    """A new folder; it belongs to the application and goes with it, or by ``clean``."""
+    own = _own_dir(spark)
+    if own not in _cleaned:
+        _cleaned.add(own)
+        atexit.register(_quietly, spark)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        clean(spark)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that this application has written and not dropped.
+
+    Results that were not consumed yet cannot be read any more.
+    """
+    _delete(spark, _own_dir(spark))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -38,8 +70,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes tables of ``written`` that no later step reads."""
-    jvm = spark._jvm
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
