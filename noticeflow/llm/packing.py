@@ -5,17 +5,23 @@ into pieces of full length of which the first may be shorter; full pieces are se
 their own.  All other pieces are dealt at random to blocks of bounded size, and each block
 is packed by several islands.  An individual is a set of bins.  Crossover injects some
 well-filled bins of one parent into the other, drops the bins that hold the same pieces
-again, and best-fits the pieces so displaced, longest first.  Islands evolve alone for some
+again, and best-fits the pieces so displaced, longest first; mutation opens the emptiest
+bins and some others and fills bins anew by subset sums.  Islands evolve alone for some
 generations, then each sends its best individual to the next one; every round is a Spark
-step over one row per island, written to the shared folder.
+step over one row per island, written to the shared folder.  The emptiest bin of each block
+is opened in the end and packed with those of the other blocks, level by level, until one
+block is left, so blocks cost about one sequence in all, not one each.
 
 Null and empty texts are the end id alone.  Repeated rows are packed as often as they are
-there.  An empty table gives an empty result.
+there; null ids are kept.  A very long text is held once, with its ids, by one task.  An
+empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,72 +43,110 @@ class Conf:
 
     length: int = 2048
     block: int = 4096
-    islands: int = 2
-    population: int = 4
-    rounds: int = 2
-    generations: int = 10
-    cache: int = 300_000
-
-
-def _bytes_of() -> dict[str, int]:
-    """Byte for each character by which byte-level vocabularies write it: printable Latin-1
-    stands for itself, the other bytes for the code points from 256 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    islands: int = 4
+    population: int = 6
+    rounds: int = 4
+    generations: int = 25
+    cache: int = 400_000
 
 
 class Encoder(dict):
-    """Token ids, as bytes of little-endian 32-bit numbers, of a text.
-
-    The vocabulary is that of a tokenizer file of byte-level BPE.  Its splitting never
-    crosses a space that is followed by something other than white space, so texts are cut
-    there, and the ids of each part (which starts with its space) are kept in a bounded
-    cache: this object, from part to ids.
+    """Token ids, as bytes of little-endian 32-bit numbers, of a text, by ``tokenizers``.
+
+    Byte-level splitting never joins what stands before a space with what follows it, if
+    that is not white space itself; nor do special tokens without spaces.  So texts are cut
+    there, and the ids of each short part (which starts with its space) are kept in a
+    bounded cache: this object, from part to ids, and the one before it, from which parts
+    that are met again come back.  Punctuation after letters is a piece of its own.  A
+    tokenizer file for which this does not hold is run over whole texts.
     """
 
-    def __init__(self, path: str, size: int = Conf.cache) -> None:
-        import re
-
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, path: str, size: int = 400_000) -> None:
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             table = json.load(f)
-        special = {t["content"] for t in table.get("added_tokens", ())}
-        code = _bytes_of()
-        ranks = {bytes(code[c] for c in token): i for token, i in table["model"]["vocab"].items() if token not in special}
-        self._encode = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        split = table.get("pre_tokenizer") or {}
+        plain = [not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in table.get("added_tokens", ())]
+        self._whole = table.get("normalizer") is not None or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or not all(plain)
+        self._encode = Tokenizer.from_file(path).encode
+        self._cut = re.compile(r" (?=\S)").split
         self._odd = re.compile(r" (?:\s|\Z)").search
-        self._size = size
+        self._word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)").fullmatch
+        self._letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]{1,64}").fullmatch
+        self._size, self._before, self._points = size, {}, {}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
+        return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= self._size:
-            self.clear()
-        out = self[part] = self.ids(" " + part)
+        out = self._before.get(part)
+        if out is None:
+            if found := self._word(part):
+                word, points = found.groups()
+                if points not in self._points:
+                    if len(self._points) >= 1000:
+                        self._points.clear()
+                    self._points[points] = self.ids(points)
+                out = self[word] + self._points[points]
+            else:
+                out = self.ids(" " + part)
+        if len(part) <= 64:
+            if len(self) >= self._size:
+                self._before = dict(self)
+                self.clear()
+            self[part] = out
         return out
 
+    def learn(self, words: list[str]) -> None:
+        """Caches words of letters by one run over all of them: each is a piece of its own."""
+        for at in range(0, len(words), 4096):
+            own = words[at : at + 4096]
+            got = self._encode(" " + " ".join(own), add_special_tokens=False)
+            ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids)
+            if len(of) and of[-1] + 1 == len(own):
+                ends = np.searchsorted(of, np.arange(1, len(own) + 1)).tolist()
+                data = ids.tobytes()
+                if len(self) + len(own) > self._size:
+                    self._before = dict(self)
+                    self.clear()
+                self.update((w, data[4 * i : 4 * j]) for w, i, j in zip(own, [0, *ends], ends, strict=False))
+
+    def documents(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; new words of all of them are run over together."""
+        if self._whole:
+            yield from map(self.ids, texts)
+            return
+        cut = [self._cut(t) if self._odd(t) else t.split(" ") for t in texts]
+        new, known, letters = set(), self._before, self._letters
+        for parts in cut:
+            new.update(parts[1:])
+        fresh = {w for p in new.difference(self) if p not in known and (w := p.rstrip(".,;:!?")) not in self and w not in known and letters(w)}
+        self.learn(sorted(fresh))
+        for first, *parts in cut:
+            yield (self.ids(first) if first else b"") + b"".join([self[p] for p in parts])
+
     def document(self, text: str) -> bytes:
-        if self._odd(text):
-            return self.ids(text)
-        first, *parts = text.split(" ")
-        return (self.ids(first) if first else b"") + b"".join([self[p] for p in parts])
+        return next(self.documents([text]))
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, size: int) -> Encoder:
+    """One for all tasks that a worker runs."""
+    return Encoder(path, size)
 
 
 def _pieces(path: str, conf: Conf):
     """(doc_id, piece, start, length, ids_crc32, uid) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, conf.cache)
+        encoder = encoder_of(path, conf.cache)
         uid = TaskContext.get().partitionId() << 34
         for batch in batches:
             docs, piece, start, length, crc = [], [], [], [], []
             ids = batch.column(0)
-            for i, text in enumerate(batch.column(1)):
-                data = (encoder.document(text.as_py()) if text.is_valid else b"") + END
+            for i, body in enumerate(encoder.documents([t or "" for t in batch.column(1).to_pylist()])):
+                data = body + END
                 total = len(data) // 4
                 cut = total % conf.length or min(total, conf.length)
                 at, k = 0, 0
@@ -187,17 +231,52 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
     return _insert(child, np.flatnonzero(displaced), sizes, capacity)
 
 
-def mutate(a: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator, bins: int = 8) -> np.ndarray:
-    """The emptiest bins and some others are opened, and their items put back by best fit."""
-    fill = _fill(a, sizes)
+def fill_fully(items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of these items, longest first: each bin as full as the items left can make it.
+
+    Sums that can be reached are the bits of one number, kept after each item.
+    """
+    out = []
+    while items:
+        first, *rest = items
+        room = capacity - sizes[first]
+        mask, reach = (1 << (room + 1)) - 1, [1]
+        for i in rest:
+            reach.append(reach[-1] | (reach[-1] << sizes[i]) & mask)
+        left, own, others = reach[-1].bit_length() - 1, [first], []
+        for k in range(len(rest), 0, -1):
+            if reach[k - 1] >> left & 1:
+                others.append(rest[k - 1])
+            else:
+                own.append(rest[k - 1])
+                left -= sizes[rest[k - 1]]
+        out.append(own)
+        items = others[::-1]
+    return out
+
+
+def mutate(a: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator, bins: int = 8, most: int = 400) -> np.ndarray:
+    """The emptiest bins and some others are opened, and their items fill bins anew.
+
+    Bins are opened while they hold ``most`` items together, so the work has a bound.
+    """
+    fill, count = _fill(a, sizes), np.bincount(a)
+    order = np.unique(np.concatenate((np.argsort(fill, kind="stable")[: bins // 2], rng.integers(0, len(fill), bins))))
+    rng.shuffle(order)
     opened = np.zeros(len(fill), bool)
-    opened[np.argsort(fill, kind="stable")[: bins // 2]] = True
-    opened[rng.integers(0, len(fill), bins)] = True
+    opened[order[np.cumsum(count[order]) <= most]] = True
+    if not opened.any():
+        return a
     child = np.full(len(a), -1, np.int64)
     kept = ~opened[a]
+    base = 0
     if kept.any():
         _, child[kept] = np.unique(a[kept], return_inverse=True)
-    return _insert(child, np.flatnonzero(~kept), sizes, capacity)
+        base = int(child.max()) + 1
+    items = np.flatnonzero(~kept)
+    for k, own in enumerate(fill_fully(items[np.argsort(-sizes[items], kind="stable")].tolist(), sizes.tolist(), capacity)):
+        child[own] = base + k
+    return child
 
 
 def _insert(child: np.ndarray, items: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -222,14 +301,16 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], conf: Conf, rng: np.
             break
         i, j = rng.permutation(len(pool))[:2] if len(pool) > 1 else (0, 0)
         child = crossover(pool[i][1], pool[j][1], sizes, conf.length, rng)
-        child = mutate(child, sizes, conf.length, rng)
+        for _ in range(1 + len(pool[0][1]) // 1000):
+            child = mutate(child, sizes, conf.length, rng)
         pool.append((_fitness(child, sizes, conf.length), child))
         pool.sort(key=lambda x: x[0], reverse=True)
         pool = pool[: conf.population]
     return [p for _, p in pool]
 
 
-_STATE = "block long, island int, uids binary, sizes binary, population array<binary>, bins long"
+_STATE = "block long, island int, uids binary, sizes binary, population array<binary>, bins long, least long"
+_ARROW = [("block", pa.int64()), ("island", pa.int32()), ("uids", pa.binary()), ("sizes", pa.binary()), ("population", pa.list_(pa.binary())), ("bins", pa.int64()), ("least", pa.int64())]
 
 
 def _round(conf: Conf, number: int):
@@ -240,12 +321,8 @@ def _round(conf: Conf, number: int):
                 population = [np.frombuffer(p, np.int32).astype(np.int64) for p in row["population"]]
                 rng = np.random.default_rng([abs(row["block"]), row["island"], number])
                 out = evolve(sizes, population, conf, rng)
-                yield pa.RecordBatch.from_pylist(
-                    [row | {"population": [p.astype(np.int32).tobytes() for p in out], "bins": int(out[0].max()) + 1}],
-                    schema=pa.schema(
-                        [("block", pa.int64()), ("island", pa.int32()), ("uids", pa.binary()), ("sizes", pa.binary()), ("population", pa.list_(pa.binary())), ("bins", pa.int64())]
-                    ),
-                )
+                row |= {"population": [p.astype(np.int32).tobytes() for p in out], "bins": int(out[0].max()) + 1, "least": -(-int(sizes.sum()) // conf.length)}
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema(_ARROW))
 
     return run
 
@@ -266,46 +343,77 @@ def _start(conf: Conf):
                 "sizes": pa.array([sizes] * n, pa.binary()),
                 "population": pa.array([[]] * n, pa.list_(pa.binary())),
                 "bins": pa.array([0] * n, pa.int64()),
+                "least": pa.array([0] * n, pa.int64()),
             }
         )
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, sequence_id, offset) of the items of each block's best individual."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            uids, sizes = np.frombuffer(row["uids"], np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
-            bins = np.frombuffer(row["population"][0], np.int32).astype(np.int64)
-            order = np.argsort(bins, kind="stable")
-            before = np.cumsum(sizes[order]) - sizes[order]
-            first = np.concatenate(([True], bins[order][1:] != bins[order][:-1]))
-            offset = before - np.maximum.accumulate(np.where(first, before, 0))
-            yield pa.record_batch(
-                [pa.array(uids[order]), pa.array(2 * ((row["block"] << 24) + bins[order])), pa.array(offset)], names=["uid", "sequence_id", "offset"]
-            )
+def _places(conf: Conf, base: int, last: bool):
+    """(uid, length, sequence_id, offset, loose) of the items of each block's best individual.
 
+    Unless this is the last level, the items of a block's emptiest bin are loose: they will
+    be packed again with those of other blocks.
+    """
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", conf: Conf = Conf()) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
-    pieces = written(rows.mapInArrow(_pieces(tokenizer, conf), schema), "pieces")
-    short = pieces.where(F.col("length") < conf.length).select("uid", "length")
-    blocks = max(1, -(-short.count() // conf.block))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                uids, sizes = np.frombuffer(row["uids"], np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+                bins = np.frombuffer(row["population"][0], np.int32).astype(np.int64)
+                fill = _fill(bins, sizes)
+                loose = (bins == fill.argmin()) & (fill.min() < conf.length) & (not last)
+                order = np.argsort(bins, kind="stable")
+                before = np.cumsum(sizes[order]) - sizes[order]
+                first = np.concatenate(([True], bins[order][1:] != bins[order][:-1]))
+                offset = before - np.maximum.accumulate(np.where(first, before, 0))
+                sequence = 2 * (((base + row["block"]) << 24) + bins[order])
+                yield pa.record_batch(
+                    [pa.array(x) for x in (uids[order], sizes[order], sequence, offset, loose[order])], names=["uid", "length", "sequence_id", "offset", "loose"]
+                )
+
+    return run
+
+
+def _search(short: DataFrame, blocks: int, base: int, conf: Conf) -> DataFrame:
+    """Places of the items (uid, length), packed in ``blocks`` blocks by islands.
+
+    Rounds end early when every block has an island at the least number of bins there can be.
+    """
+    spark = short.sparkSession
     dealt = short.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
     islands = written(dealt.groupBy("block").applyInArrow(_start(conf), _STATE).mapInArrow(_round(conf, 0), _STATE), "islands")
     for number in range(1, conf.rounds):
-        elite = islands.select("block", F.pmod(F.col("island") + 1, F.lit(conf.islands)).alias("island"), F.slice("population", 1, 1).alias("elite"))
+        if islands.groupBy("block").agg(F.min(F.col("bins") - F.col("least")).alias("over")).where("over > 0").isEmpty():
+            break
+        elite = islands.select("block", F.pmod(F.col("island") + 1, F.lit(conf.islands)).cast("int").alias("island"), F.slice("population", 1, 1).alias("elite"))
         met = islands.join(elite, ["block", "island"])
         joined = met.withColumn("population", F.concat("elite", "population")).select(*islands.columns)
         after = written(joined.mapInArrow(_round(conf, number), _STATE), "islands")
-        drop(docs.sparkSession, islands)
+        drop(spark, islands)
         islands = after
     best = islands.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("best")).select("block", F.col("best.island").alias("island"))
-    places = islands.join(best, ["block", "island"]).mapInArrow(_places, "uid long, sequence_id long, offset long")
+    schema = "uid long, length long, sequence_id long, offset long, loose boolean"
+    places = written(islands.join(best, ["block", "island"]).mapInArrow(_places(conf, base, blocks == 1), schema), "places")
+    drop(spark, islands)
+    return places
+
+
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", conf: Conf = Conf()) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
+    pieces = written(rows.mapInArrow(_pieces(tokenizer, conf), schema), "pieces")
+    short, base = pieces.where(F.col("length") < conf.length).select("uid", "length"), 0
+    places, settled = None, []
+    while places is None or settled[-1][1] > 1:
+        blocks = max(1, -(-short.count() // conf.block))
+        places = _search(short, blocks, base, conf)
+        settled.append((places.where("not loose").select("uid", "sequence_id", "offset"), blocks))
+        short, base = places.where("loose").select("uid", "length"), base + blocks
+    placed = functools.reduce(DataFrame.unionByName, [p for p, _ in settled])
     full = pieces.where(F.col("length") == conf.length).withColumn("sequence_id", 2 * F.col("uid") + 1).withColumn("offset", F.lit(0).cast("long"))
-    rest = pieces.where(F.col("length") < conf.length).join(places, "uid")
+    rest = pieces.where(F.col("length") < conf.length).join(placed, "uid")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return full.select(*columns).unionByName(rest.select(*columns))
