@@ -1,13 +1,16 @@
 """Secret scans: known shapes, and Shannon entropy in a sliding window. SQL functions only.
 
 Base kinds are regular expressions.  The method looks at candidate strings (runs of key
-characters), takes the character class of each, and slides a window over it: per step one
-count goes down and one goes up, and the sum of c*log2(c) follows from those two changes,
-so that the entropy ``log2(w) - sum/w`` costs no recount.  A candidate whose highest window
-entropy reaches the threshold of its class becomes a span unless the allow list names it or
-a base span overlaps it.
-
-Null and empty texts have no spans.  Rows are kept one for one, repeated or not.
+characters), takes the character class of each - digits, hexadecimal, letters, or mixed as
+in base64 - and slides a window over it.  Per step one count goes down and one goes up, and
+the sum of c*log2(c) follows from those two counts, so that the entropy ``log2(w) - sum/w``
+costs no recount.  A candidate whose highest window entropy reaches the threshold of its
+class becomes a span unless the allow list names it or a base span overlaps it.
+
+Null and empty texts have no spans.  Rows are kept one for one, repeated or not; an empty
+table gives an empty result.  An entropy that equals the threshold passes.  Candidates of
+any length are judged whole, in pieces that overlap by a window, in time linear in the text.
+Only the columns ``secret_base`` and ``secret_spans`` give way to results of those names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,9 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters or more; a shorter run holds no longer one
 HEX = r"[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
+KINDS = ("assign", "access", "hex", "entropy_digits", "entropy_hex", "entropy_letters", "entropy_mixed")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-_FIRST, _LAST = ord("+"), ord("z")
 
 
 @dataclass(frozen=True)
@@ -38,52 +40,53 @@ class Limits:
     """Window length, least entropy (bits) per class, and strings that are no secrets."""
 
     window: int = 20
+    digit_bits: float = 2.8
     hex_bits: float = 2.8
+    letter_bits: float = 3.75
     mixed_bits: float = 3.6
     allow: tuple[str, ...] = (
         r"(?i)example|sample|dummy|placeholder|changeme",
         r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
         r"0123456789|abcdefghij|ABCDEFGHIJ",
-        r"^[A-Za-z]+([-_/][A-Za-z]+)*$",
+        r"^[A-Za-z]+([-_/][A-Za-z]+)+$",
         r"^[-=_+/]+$",
     )
 
 
-def _weight(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-
+def peak_entropy(word: Column, window: int, piece: int = 200) -> Column:
+    """The highest entropy of any window of that length; of the whole word if it is shorter.
 
-def peak_entropy(word: Column, window: int) -> Column:
-    """The highest entropy of any window of that length; of the whole word if it is shorter."""
+    ``word`` is ASCII.  The state holds one sum; how often the character that leaves and the
+    one that comes are in the window is read off the window's own characters.
+    """
+    value = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    # What a character adds when it is there for the c-th time.
+    adds = F.array(*(F.lit(value[c] - value[c - 1]) for c in range(1, window + 1)))
+    times = lambda part, c: F.length(part) - F.length(F.replace(part, c, F.lit("")))
 
-    def run(codes: Column) -> Column:
-        zeros = F.transform(F.sequence(F.lit(_FIRST), F.lit(_LAST)), lambda _: F.lit(0))
-        width = F.least(F.size(codes), F.lit(window))
-        start = F.struct(zeros.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    def least_sum(w: Column) -> Column:
+        width = F.least(F.length(w), F.lit(window))
 
         def step(acc: Column, i: Column) -> Column:
-            came = F.element_at(codes, i)
-            went = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
-            gone = F.when(went > 0, F.element_at(acc["counts"], F.greatest(went, F.lit(1)))).otherwise(F.lit(0))
-            less = acc["sum"] - _weight(gone) + F.when(gone > 0, _weight(gone - 1)).otherwise(F.lit(0.0))
-            had = F.element_at(acc["counts"], came) - F.when(went == came, 1).otherwise(0)
-            total = less - _weight(had) + _weight(had + 1)
-            counts = F.transform(
-                acc["counts"],
-                lambda c, k: c + F.when(k + 1 == came, 1).otherwise(0) - F.when(k + 1 == went, 1).otherwise(0),
-            )
+            leaves = F.element_at(adds, times(F.substring(w, i - window, F.lit(window)), F.substring(w, i - window, F.lit(1))))
+            stay = F.substring(w, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
+            comes = F.element_at(adds, times(stay, F.substring(w, i, F.lit(1))) + 1)
             return let(
-                F.struct(counts.alias("counts"), total.alias("sum")),
-                lambda s: F.struct(
-                    s["counts"].alias("counts"),
-                    s["sum"].alias("sum"),
-                    F.when(i >= width, F.greatest(acc["best"], F.log2(width.cast("double")) - s["sum"] / width)).otherwise(acc["best"]).alias("best"),
-                ),
+                acc["sum"] - F.when(i > window, leaves).otherwise(F.lit(0.0)) + comes,
+                lambda s: F.struct(s.alias("sum"), F.when(i >= width, F.least(acc["best"], s)).otherwise(acc["best"]).alias("best")),
             )
 
-        return F.aggregate(upto(F.size(codes)), start, step)["best"]
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("best"))
+        return F.aggregate(upto(F.length(w)), start, step)["best"]
 
-    return let(F.transform(F.split(word, ""), lambda c: F.ascii(c) - _FIRST + 1), run)
+    def whole(w: Column) -> Column:
+        width = F.least(F.length(w), F.lit(window))
+        # Pieces overlap, so that each window is in one of them.
+        pieces = F.regexp_extract_all(w, F.lit(f"(?=(.{{1,{piece}}})).{{1,{piece - window + 1}}}"), F.lit(1))
+        sums = F.transform(F.filter(pieces, lambda p: F.length(p) >= width), lambda p: least_sum(p))
+        return F.log2(width.cast("double")) - F.array_min(sums) / width
+
+    return let(word, whole)
 
 
 def _entropy_spans(text: Column, base: Column, limits: Limits) -> Column:
@@ -93,17 +96,19 @@ def _entropy_spans(text: Column, base: Column, limits: Limits) -> Column:
         word = F.substring(text, c["start"] + 1, c["end"] - c["start"])
 
         def verdict(w: Column) -> Column:
-            is_hex = w.rlike(r"^[0-9a-fA-F]+$")
-            mixed = w.rlike(r"[0-9]") & w.rlike(r"[A-Za-z]")
+            digit, letter = w.rlike(r"[0-9]"), w.rlike(r"[A-Za-z]")
+            kind = (
+                F.when(w.rlike(r"^[0-9]+$"), 3)
+                .when(w.rlike(r"^[A-Za-z]+$"), 5)
+                .when(w.rlike(r"^[0-9a-fA-F]+$"), 4)
+                .when(digit & letter, 6)
+            )
             listed = F.lit(False)
             for pattern in limits.allow:
                 listed = listed | w.rlike(pattern)
-            enough = let(
-                peak_entropy(w, limits.window),
-                lambda e: F.when(is_hex, e >= limits.hex_bits).otherwise(e >= limits.mixed_bits),
-            )
-            ok = F.when(listed | ~mixed, False).otherwise(enough)
-            return F.when(ok, F.when(is_hex, 3).otherwise(4)).otherwise(-1)
+            bits = F.array(*map(F.lit, (limits.digit_bits, limits.hex_bits, limits.letter_bits, limits.mixed_bits)))
+            ok = lambda k: F.when(k.isNull() | listed, False).otherwise(peak_entropy(w, limits.window) >= F.element_at(bits, k - 2))
+            return let(kind, lambda k: F.when(ok(k), k).otherwise(-1))
 
         return F.struct(c["start"].alias("start"), let(word, verdict).alias("kind"), c["end"].alias("end"))
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from noticeflow.llm import secret_scan as s
 
@@ -44,3 +46,50 @@ def test_odd_rows(odd, odd_rows, empty):
     rows = s.digest(odd).collect()
     assert len(rows) == len(odd_rows) and {r.spans for r in rows} == {""}
     assert s.digest(empty).collect() == []
+
+
+LIMITS = s.Limits()
+CLASSES = (("[0-9]+", 3, LIMITS.digit_bits), ("[A-Za-z]+", 5, LIMITS.letter_bits), ("[0-9a-fA-F]+", 4, LIMITS.hex_bits))
+
+
+def all_spans(text):
+    """Base spans and entropy spans, by recounting every window."""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    for m in re.finditer(s.CANDIDATE, text):
+        w = m.group()
+        if any(a < m.end() and m.start() < e for a, k, e in found if k < 3) or any(re.search(p, w) for p in LIMITS.allow):
+            continue
+        kind, least = next(((k, b) for p, k, b in CLASSES if re.fullmatch(p, w)), (6, LIMITS.mixed_bits))
+        if kind == 6 and not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)):
+            continue
+        if max(s.entropy(w[i : i + 20]) for i in range(len(w) - 19)) >= least - 1e-12:
+            found.append((m.start(), kind, m.end()))
+    return ",".join(f"{s.KINDS[k]}:{a}:{e}" for a, k, e in sorted(found))
+
+
+def planted(rng):
+    kind = rng.choice((string.digits, "0123456789ABCDEF", string.ascii_letters, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits + "_-"))
+    return "".join(rng.choice(kind) for _ in range(rng.randint(24, 48)))
+
+
+def test_spans_against_recounting(spark, words):
+    rng = random.Random(8)
+    texts = list(TEXTS)
+    for _ in range(150):
+        parts = [rng.choice(words) for _ in range(rng.randint(0, 8))]
+        parts += [rng.choice((planted(rng), "".join(rng.choice(words) for _ in range(6)), "-".join(rng.choice(words) for _ in range(5)), "ab1" * rng.randint(7, 90)))]
+        texts.append(" ".join(parts))
+    texts.append("x" + "".join(planted(rng) for _ in range(12)) + " tail")
+    got = {r.doc_id: r.spans for r in s.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [all_spans(t) for t in texts]
+
+
+def test_planted_strings_are_found_and_words_are_not(spark, words):
+    rng = random.Random(9)
+    rows = [(i, f"say {planted(rng)} once") for i in range(200)]
+    rows += [(i, " ".join(rng.choice(("".join(rng.choice(words) for _ in range(rng.randint(3, 7))), "internationalization", "Donaudampfschifffahrtsgesellschaft")) for _ in range(5))) for i in range(200, 400)]
+    got = {r.doc_id: r.spans for r in s.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] != "" for i in range(200)) >= 180
+    assert sum(got[i] != "" for i in range(200, 400)) <= 10
