@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Edges never leave the executors.  Each round is written to the shared folder, so lineage
-stays short and a lost executor costs one round at most.
+stays short and a lost executor costs one round at most.  Hubs, nodes with more edges than
+a share of all that has a floor, are few by that count; what edges have to learn about them
+is broadcast, so no task gets all edges of a hub.
 """
 
 from __future__ import annotations
@@ -42,6 +44,20 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["u", "v"])
 
 
+#: A node with more edges than this, and than one in HUBS of all edges, is a hub.
+FEW, HUBS = 1_000, 20_000
+
+
+def told(edges: DataFrame, about: DataFrame, key: str, total: int) -> DataFrame:
+    """``edges`` joined with ``about`` (key, n and more; key unique; n: its edges), without n.
+
+    The hubs are at most HUBS rows, so they may be broadcast.
+    """
+    least = max(FEW, total // HUBS)
+    hubs, others = about.where(F.col("n") > least).drop("n"), about.where(F.col("n") <= least).drop("n")
+    return edges.join(F.broadcast(hubs), key).unionByName(edges.join(others, key))
+
+
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for each node that has an edge; root is the least node it can reach.
 
@@ -60,10 +76,11 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             raise RuntimeError(f"components still change after {rounds} rounds")
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        total = 2 * state[0]
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = told(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        star = told(large, low, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(star.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop(now.sparkSession, now)
         now = after

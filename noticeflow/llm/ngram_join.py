@@ -4,7 +4,6 @@ A document is the set of its distinct five-word shingles (A-Z lower-cased; with
 words, the word sequence is the one shingle; without words the set is empty and linked
 with nothing).  Two documents link when their Jaccard similarity reaches the threshold.
 The result says, for each row, the size of its set and the component that it belongs to.
-Rows that share a ``doc_id`` count as one document.
 
 1. Equal sets become one class, known by its least id.
 2. Small sets, up to a boundary ``x``: for each overlap ``c`` that two small sets may need,
@@ -15,18 +14,23 @@ Rows that share a ``doc_id`` count as one document.
    only these are listed.
 4. The boundary is the one of least cost: keys of the small sets against postings of the
    large ones times the mean length of the lists they scan, both measured on all rows.
-5. Short lists are scanned for the number ``k`` of first-part shingles that two sets share.
-   They can link only if ``k`` and what lies beyond a first part reach the least overlap,
-   which rules out most sets that merely share a passage.  Long lists, and the keys of
-   small sets, are stars around one set and rule nothing out.
-6. What is left forms candidate clusters.  These are dealt to blocks of bounded weight (a
-   large cluster to pairs of sub-blocks), where all inverted lists of all sets in the block
-   are scanned to count the overlap of every pair, exactly.  Only a spanning star of the
+5. The lists of the final order are counted.  Short ones are scanned for the number ``k`` of
+   first-part shingles that two sets share; if two sets share no long list, they can link
+   only if ``k`` and what lies beyond a first part reach the least overlap, which rules out
+   most sets that merely share a passage.  Long lists, and the keys of small sets, are stars
+   around one set and rule nothing out.  Only lists that were counted as short are gathered.
+6. What is left forms candidate clusters.  A cluster that fits into a block is dealt to one,
+   where all inverted lists of its sets are scanned to count the overlap of every pair,
+   exactly.  Of a larger cluster the candidate edges are verified first, each exactly, which
+   joins a group of near copies in linear work.  Then only parts of sets that are not joined
+   yet, and whose sizes allow a link, meet in blocks: sizes fall in bands of a factor of the
+   threshold, and linked sets lie in one band or in neighbours.  Only a spanning star of the
    links leaves a block.
 
-Lists that grow without bound are never gathered: a list is collected only when it is not
-in the table of frequent shingles.  That table orders shingles and nothing else, so its
-size limit costs time at worst, never a link.
+A row without an id links with nothing but equal sets; its component is theirs, or null.
+Rows of one id with different texts are judged each by its own text, under that id.  An
+empty table gives an empty result.  Texts of any length are read whole; a block holds at
+least one set, however large.  Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -42,10 +46,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm import textvec as tv
-from noticeflow.llm.components import components, forest
+from noticeflow.llm.components import components, forest, told
 from noticeflow.llm.storage import drop, written
 
 _SIZE, _LIST = 0, 1
+#: So many lists of parts, one for each large cluster, may be broadcast.
+HUBS_LISTS = 2_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +61,8 @@ class Join:
     ``frequent``: a shingle in more first parts than this comes last in the order;
     ``max_frequent``: so many of them at most, the most frequent;
     ``largest_small``: the boundary is at most this; ``short``: longest list that is scanned
-    for pairs; ``block``: weight of a block.
+    for pairs; ``max_broadcast``: rows of long lists that may be broadcast, else they are
+    joined; ``block``: weight of a block.
     """
 
     k: int = 5
@@ -64,6 +71,7 @@ class Join:
     max_frequent: int = 100_000
     largest_small: int = 12
     short: int = 128
+    max_broadcast: int = 1_000_000
     block: int = 1_000_000
 
     def need(self, a: int, b: int) -> int:
@@ -132,11 +140,8 @@ def boundary(conf: Join, sizes: dict[int, int], scan: float) -> int:
 
 
 def _signatures(conf: Join, x: int, frequent: np.ndarray):
-    """Rows (doc_id, n, d1, d2, first, late, keys) of each document.
-
-    ``first`` is its first part, ``late`` how many frequent shingles that holds, and
-    ``keys`` the subset keys of a small set.
-    """
+    """Rows (doc_id, n, d1, d2, first, keys) of each document: its first part, and the subset
+    keys of a small set."""
     none = np.zeros(0, np.uint64)
 
     def subsets(s: np.ndarray) -> np.ndarray:
@@ -147,15 +152,14 @@ def _signatures(conf: Join, x: int, frequent: np.ndarray):
             out.append(tv.mix(np.bitwise_xor.reduce(tv.mix(picked + mark), axis=1) + mark))
         return np.concatenate(out) if out else none
 
-    def first(s: np.ndarray) -> tuple[np.ndarray, int]:
+    def first(s: np.ndarray) -> np.ndarray:
         if 100 * len(s) <= conf.percent * x:
-            return none, 0
+            return none
         p = conf.first(len(s))
         if not len(frequent):
-            return s[:p], 0
+            return s[:p]
         last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        early = s[~last][:p]
-        return np.concatenate((early, s[last]))[:p], p - len(early)
+        return np.concatenate((s[~last][:p], s[last]))[:p]
 
     def lists(values: list[np.ndarray]) -> pa.ListArray:
         at = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
@@ -174,11 +178,10 @@ def _signatures(conf: Join, x: int, frequent: np.ndarray):
                         pa.array([len(s) for s in sets], pa.int64()),
                         _longs(d1),
                         _longs(d2),
-                        lists([f for f, _ in firsts]),
-                        pa.array([late for _, late in firsts], pa.int64()),
+                        lists(firsts),
                         lists([subsets(s) if len(s) else s for s in sets]),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "first", "late", "keys"],
+                    names=["doc_id", "n", "d1", "d2", "first", "keys"],
                 )
 
     return run
@@ -230,11 +233,9 @@ def _links(conf: Join):
     """The links of a block, as stars: (doc_id, least doc_id reachable in the block)."""
 
     def run(table: pa.Table) -> pa.Table:
-        sets = {}
-        for doc, raw in zip(table.column("doc_id").to_pylist(), table.column("shingles").to_pylist(), strict=True):
-            sets[doc] = np.frombuffer(raw, np.uint64)
-        docs = np.array(sorted(sets), np.int64)
-        ordered = [sets[d] for d in docs.tolist()]
+        table = table.sort_by("doc_id")
+        docs = table["doc_id"].to_numpy()
+        ordered = [np.frombuffer(raw, np.uint64) for raw in table["shingles"].to_pylist()]
         size = np.array([len(s) for s in ordered], np.int64)
         common = overlaps(ordered)
         a, b = np.nonzero(np.triu(common, 1))
@@ -247,11 +248,11 @@ def _links(conf: Join):
 
 
 def _scan(conf: Join):
-    """(a, b, na, nb, late, k) of sets on short lists; (doc, hub, 0, 0, 0, -1) of long ones."""
-    names = ["a", "b", "na", "nb", "late", "k"]
+    """(a, b, na, nb, k) of sets on short lists."""
+    names = ["a", "b", "na", "nb", "k"]
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.concatenate(held, axis=1) if held else np.zeros((5, 0), np.int64)
+        pairs = np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64)
         order = np.lexsort((pairs[1], pairs[0]))
         pairs = pairs[:, order]
         new = np.flatnonzero(np.concatenate(([True], (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])))) if len(order) else order
@@ -263,20 +264,17 @@ def _scan(conf: Join):
         for batch in batches:
             column = batch.column(0)
             at = column.offsets.to_numpy()
-            docs, n, late = (column.values.field(i).to_numpy() for i in range(3))
+            docs, n = (column.values.field(i).to_numpy() for i in range(2))
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if hi - lo > conf.short:
-                    hub, m = int(docs[lo:hi].min()), hi - lo
-                    zero = np.zeros(m, np.int64)
-                    yield pa.record_batch([pa.array(x) for x in (docs[lo:hi], np.full(m, hub), zero, zero, zero, zero - 1)], names=names)
-                    continue
+                    raise ValueError(f"a list of {hi - lo} was gathered")
                 order = lo + np.argsort(docs[lo:hi], kind="stable")
                 i, j = np.triu_indices(hi - lo, 1)
                 i, j = order[i], order[j]
                 near = (100 * np.minimum(n[i], n[j]) >= conf.percent * np.maximum(n[i], n[j])) & (docs[i] != docs[j])
                 i, j = i[near], j[near]
                 if len(i):
-                    held.append(np.stack((docs[i], docs[j], n[i], n[j], np.minimum(late[i], late[j]))))
+                    held.append(np.stack((docs[i], docs[j], n[i], n[j])))
                     total += len(i)
             if total > 1_000_000:
                 yield flush(held)
@@ -286,31 +284,108 @@ def _scan(conf: Join):
     return run
 
 
-def _candidates(marks: DataFrame, frequent: np.ndarray, conf: Join) -> DataFrame:
-    """Pairs (u, v) that may link, and stars around one set for long lists and subset keys.
-
-    Lists of frequent shingles stay rows: their least documents, at most one row for each
-    of the bounded number of frequent shingles, are broadcast to them.
-    """
+def _candidates(marks: DataFrame, conf: Join) -> DataFrame:
+    """Pairs (u, v) that may link, and stars around one set for long lists and subset keys."""
     spark = marks.sparkSession
-    often = F.broadcast(spark.createDataFrame(pa.table({"t": pa.array(frequent.view(np.int64), pa.int64())})))
-    postings = marks.select(F.struct("doc_id", "n", "late").alias("doc"), F.explode("first").alias("t"))
-    late = postings.where("doc.late > 0").join(often, "t").select("t", "doc.doc_id")
-    hubs = late.groupBy("t").agg(F.min("doc_id").alias("hub"))
-    stars = late.join(F.broadcast(hubs), "t").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
+    postings = marks.select("doc_id", "n", F.explode("first").alias("t"))
+    long = written(postings.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("hub")).where(F.col("m") > conf.short), "long-lists")
+    if long.count() <= conf.max_broadcast:
+        known = postings.join(F.broadcast(long.select("t", "hub")), "t", "left")
+        stars = known.where("hub is not null").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
+        rest = known.where("hub is null")
+    else:
+        stars = postings.join(long.select("t", "hub"), "t").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
+        rest = postings.join(long.select("t"), "t", "left_anti")
 
     keyed = marks.where("size(keys) > 0").select("doc_id", "n", F.explode("keys").alias("t"))
-    least = keyed.groupBy("t").agg(F.min(F.struct("n", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    small = keyed.join(least, "t").select(F.col("doc_id").alias("u"), F.col("hub.doc_id").alias("v"))
+    least = keyed.groupBy("t").agg(F.min(F.struct("n", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    total = least.agg(F.sum("n")).head()[0] or 0
+    small = told(keyed.drop("n"), least, "t", total).select(F.col("doc_id").alias("u"), F.col("hub.doc_id").alias("v"))
 
-    short = postings.join(often, "t", "left_anti").groupBy("t").agg(F.collect_list("doc").alias("docs")).where("size(docs) > 1")
-    scanned = short.select("docs").mapInArrow(_scan(conf), "a long, b long, na long, nb long, late long, k long")
-    pairs = scanned.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("late").alias("late"), F.sum(F.greatest("k", F.lit(0))).alias("k"), F.min("k").alias("star"))
+    short = rest.select("t", F.struct("doc_id", "n").alias("doc")).groupBy("t").agg(F.collect_list("doc").alias("docs")).where("size(docs) > 1")
+    scanned = short.select("docs").mapInArrow(_scan(conf), "a long, b long, na long, nb long, k long")
+    pairs = scanned.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("k").alias("k"))
     # n less ceil(percent * n / 100) and one, are in the first part; the rest is beyond it.
     beyond = F.expr(f"greatest((na * {conf.percent} + 99) div 100, (nb * {conf.percent} + 99) div 100) - 1")
-    may = (100 + conf.percent) * (F.col("k") + F.col("late") + beyond) >= conf.percent * (F.col("na") + F.col("nb"))
-    rest = pairs.where((F.col("star") < 0) | may).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return stars.unionByName(small).unionByName(rest).where("u <> v").distinct()
+    may = (100 + conf.percent) * (F.col("k") + beyond) >= conf.percent * (F.col("na") + F.col("nb"))
+    near = pairs.where(may).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = written(stars.unionByName(small).unionByName(near).where("u <> v").distinct(), "candidates")
+    drop(spark, long)
+    return out
+
+
+def _verify(conf: Join):
+    """Of rows (u, v, their sets) those that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.frombuffer(raw, np.uint64) for raw in batch.column(i).to_pylist()] for i in (2, 3)]
+            linked = [
+                (100 + conf.percent) * len(np.intersect1d(a, b, assume_unique=True)) >= conf.percent * (len(a) + len(b)) for a, b in zip(*sets, strict=True)
+            ]
+            yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
+
+
+def _settle(edges: DataFrame, big: DataFrame, sets: DataFrame, conf: Join) -> DataFrame:
+    """The links among candidate edges of the clusters in ``big`` (node, root), verified.
+
+    Sets of hubs are copied once for each ``share`` of their edges, so no task gets them all.
+    """
+    share = 2_000
+    own = edges.join(big.select(F.col("node").alias("u")), "u", "left_semi")
+    hubs = own.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    total = hubs.agg(F.sum("n")).head()[0] or 0
+    dealt = told(own, hubs.withColumn("salts", F.ceil(F.col("n") / share).cast("int")), "v", total).withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))
+    copies = hubs.select("v", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / share).cast("int") - 1)).alias("salt"))
+    right = copies.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+    left = dealt.select("u", "v", "salt").join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
+    return left.join(right, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(_verify(conf), "u long, v long")
+
+
+def _blocks(nodes: DataFrame, weights: DataFrame, conf: Join) -> DataFrame:
+    """(blocks, doc_id) of clusters that fit into a block; smaller ones share one."""
+    fits = weights.where(F.col("w") <= conf.block)
+    total = fits.agg(F.sum("w")).head()[0] or 0
+    home = F.concat(F.lit("h"), F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // conf.block)))))
+    block = F.when(F.col("w") > conf.block // 8, F.concat(F.lit("r"), "root")).otherwise(home)
+    return nodes.join(fits, "root").select(F.array(block).alias("blocks"), F.col("node").alias("doc_id"))
+
+
+def _cross_blocks(big: DataFrame, settled: DataFrame, conf: Join) -> DataFrame:
+    """(blocks, doc_id) of larger clusters, so that all sets meet that are not joined yet.
+
+    A part is a share of one large group of joined sets, or of all small groups, in one band
+    of sizes.  Parts of the same group need not meet; nor do parts of bands further apart.
+    """
+    half = conf.block // 2
+    rows = big.join(settled, "node", "left").withColumn("group", F.coalesce("found", "node"))
+    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.01 / conf.percent))).cast("int"))
+    size = rows.groupBy("root", "band", "group").agg(F.sum("weight").alias("w"))
+    label = F.when(F.col("w") > half, F.col("group").cast("string")).otherwise("*")
+    labels = size.withColumn("label", label)
+    parts = labels.groupBy("root", "band", "label").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("groups")).withColumn("parts", F.ceil(F.col("w") / half).cast("int"))
+    # A cluster has as many parts as blocks of half size, and a few for its bands.
+    lists = parts.groupBy("root").agg(F.collect_list(F.struct("band", "label", "parts", "groups")).alias("all"))
+    own = rows.join(labels.select("root", "band", "group", "label"), ["root", "band", "group"]).join(parts.select("root", "band", "label", "parts"), ["root", "band", "label"])
+    own = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(F.broadcast(lists) if lists.count() <= HUBS_LISTS else lists, "root")
+    name = lambda band, label, part: F.concat_ws(":", band.cast("string"), label, part.cast("string"))
+    mine = name(F.col("band"), F.col("label"), F.col("part"))
+    meets = F.filter("all", lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & ((x["label"] == "*") | (x["label"] != F.col("label"))))
+    each = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda j: name(x["band"], x["label"], j))))
+    blocks = F.transform(each, lambda other: F.concat_ws("/", F.col("root").cast("string"), F.least(other, mine), F.greatest(other, mine)))
+    return own.select(blocks.alias("blocks"), F.col("node").alias("doc_id")).where("size(blocks) > 0")
+
+
+_SETS = "blocks array<string>, doc_id long, shingles binary"
+
+
+def _linked(docs: DataFrame, placed: DataFrame, conf: Join) -> DataFrame:
+    """The links that are found in blocks, for documents (blocks, doc_id)."""
+    texts = docs.join(placed, "doc_id").select("blocks", "doc_id", "text")
+    sets = texts.mapInArrow(_sets(conf), _SETS).select(F.explode("blocks").alias("block"), "doc_id", "shingles")
+    return sets.groupBy("block").applyInArrow(_links(conf), "u long, v long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join = Join()) -> DataFrame:
@@ -328,35 +403,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join =
     drop(spark, counts)
     x = boundary(conf, sizes, scan)
 
-    marks = written(docs.mapInArrow(_signatures(conf, x, frequent), "doc_id long, n long, d1 long, d2 long, first array<long>, late long, keys array<long>"), "signatures")
+    marks = written(docs.mapInArrow(_signatures(conf, x, frequent), "doc_id long, n long, d1 long, d2 long, first array<long>, keys array<long>"), "signatures")
     rows = marks.select("doc_id", "n", "d1", "d2")
     classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id"))
-    own = marks.join(reps.hint("shuffle_hash"), "doc_id", "left_semi").drop("d1", "d2")
-    edges = written(_candidates(own, frequent, conf), "candidates")
+    edges = _candidates(marks.join(reps, "doc_id", "left_semi").drop("d1", "d2"), conf)
     clusters = written(components(edges), "clusters")
-    drop(spark, edges)
 
-    nodes = clusters.join(rows.where("n > 0").select(F.col("doc_id").alias("node"), "n").distinct(), "node").withColumn("weight", F.col("n") + 512)
+    sizes_of = rows.where("n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
+    nodes = written(clusters.join(sizes_of, "node").withColumn("weight", F.col("n") + 512), "nodes")
     weights = nodes.groupBy("root").agg(F.sum("weight").alias("w"))
-    total = weights.agg(F.sum("w")).head()[0] or 0
-    parts = F.ceil(F.col("w") / conf.block).cast("int")
-    home = F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // conf.block)))).cast("string")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own")),
-        lambda j: F.concat_ws("/", F.col("root"), F.least(j, F.col("own")), F.greatest(j, F.col("own"))),
-    )
-    placed = (
-        nodes.join(weights.withColumn("parts", parts), "root")
-        .withColumn("own", part)
-        .select(F.when(F.col("parts") > 1, pairs).otherwise(F.array(home)).alias("blocks"), F.col("node").alias("doc_id"))
-    )
-    texts = docs.join(placed.hint("shuffle_hash"), "doc_id").select("blocks", "doc_id", "text")
-    sets = texts.mapInArrow(_sets(conf), "blocks array<string>, doc_id long, shingles binary").select(F.explode("blocks").alias("block"), "doc_id", "shingles")
-    links = written(sets.groupBy("block").applyInArrow(_links(conf), "u long, v long"), "links")
+    links = _linked(docs, _blocks(nodes, weights, conf), conf)
+    large = written(nodes.join(weights.where(F.col("w") > conf.block).select("root"), "root"), "large")
+    spare = []
+    if not large.isEmpty():
+        sets = written(docs.join(large.select(F.col("node").alias("doc_id")), "doc_id").select(F.lit(None).cast("array<string>").alias("blocks"), "doc_id", "text").mapInArrow(_sets(conf), _SETS), "sets")
+        first = written(_settle(edges, large, sets, conf), "settled")
+        joined = written(components(first).withColumnRenamed("root", "found"), "joined")
+        cross = _cross_blocks(large, joined, conf).join(sets.select("doc_id", "shingles"), "doc_id").select(F.explode("blocks").alias("block"), "doc_id", "shingles")
+        links = links.unionByName(first).unionByName(cross.groupBy("block").applyInArrow(_links(conf), "u long, v long"))
+        spare = [sets, first, joined]
+    links = written(links, "links")
     found = written(components(links), "found")
-    drop(spark, links)
+    drop(spark, links, edges, clusters, nodes, large, *spare)
 
     salts = 16
     groups = (

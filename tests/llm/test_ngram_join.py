@@ -94,3 +94,43 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges + chain, "a long, b long").repartition(5)).collect()
     assert {r.node: r.root for r in got} == {x: r for x, r in forest(edges + chain).items()}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_large_groups_of_near_copies(spark, words):
+    """Shared shingles follow each other into the first parts: no list of them is gathered."""
+    rng = random.Random(12)
+    base = [rng.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(words) + str(i)
+        rows.append((i, " ".join(w)))
+    # Relatives of the group that do not link with all of it, and some that link with none.
+    for i in range(700, 760):
+        w = list(base)
+        at = rng.randrange(160)
+        w[at : at + rng.randint(15, 40)] = [rng.choice(words) + str(i) for _ in range(rng.randint(0, 30))]
+        rows.append((i, " ".join(w)))
+    conf = ngram_join.Join(frequent=8, short=16, block=60_000)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), conf=conf).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_long_lists_may_be_joined(spark, words):
+    rows = corpus(words, 5)
+    conf = ngram_join.Join(frequent=2, short=4, block=4000, max_broadcast=0)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), conf=conf).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_hubs(spark, monkeypatch):
+    from noticeflow.llm import components as c
+
+    monkeypatch.setattr(c, "FEW", 5)
+    monkeypatch.setattr(c, "HUBS", 50)
+    rng = random.Random(3)
+    pairs = [(0, i) for i in range(1, 200)] + [(rng.randrange(300, 600), rng.randrange(300, 600)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = forest(pairs)
+    assert got == {k: v for k, v in want.items() if any(k in p and p[0] != p[1] for p in pairs)}
