@@ -139,7 +139,7 @@ def boundary(conf: Join, sizes: dict[int, int], scan: float) -> int:
     return min(range(conf.largest_small + 1), key=cost)
 
 
-def _signatures(conf: Join, x: int, frequent: np.ndarray):
+def _signatures(conf: Join, x: int, frequent: np.ndarray, more: tuple[str, ...] = ()):
     """Rows (doc_id, n, d1, d2, first, keys) of each document: its first part, and the subset
     keys of a small set."""
     none = np.zeros(0, np.uint64)
@@ -180,8 +180,9 @@ def _signatures(conf: Join, x: int, frequent: np.ndarray):
                         _longs(d2),
                         lists(firsts),
                         lists([subsets(s) if len(s) else s for s in sets]),
+                        *(batch.column(2 + i).slice(chunk.first, chunk.rows) for i in range(len(more))),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "first", "keys"],
+                    names=["doc_id", "n", "d1", "d2", "first", "keys", *(f"_more{i}" for i in range(len(more)))],
                 )
 
     return run
@@ -388,10 +389,13 @@ def _linked(docs: DataFrame, placed: DataFrame, conf: Join) -> DataFrame:
     return sets.groupBy("block").applyInArrow(_links(conf), "u long, v long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join = Join()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id and component_id."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join = Join(), more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id, and the
+    columns that ``more`` names."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    kinds = "".join(f", _more{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(more))
+    carried = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
+    docs = carried.select("doc_id", "text")
 
     counts = docs.select("text").mapInArrow(_count(conf), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     counts = written(counts.where(f"kind = {_SIZE} or n > 1"), "list-sizes")
@@ -403,11 +407,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join =
     drop(spark, counts)
     x = boundary(conf, sizes, scan)
 
-    marks = written(docs.mapInArrow(_signatures(conf, x, frequent), "doc_id long, n long, d1 long, d2 long, first array<long>, keys array<long>"), "signatures")
-    rows = marks.select("doc_id", "n", "d1", "d2")
+    schema = "doc_id long, n long, d1 long, d2 long, first array<long>, keys array<long>" + kinds
+    marks = written(carried.mapInArrow(_signatures(conf, x, frequent, more), schema), "signatures")
+    extra = [f"_more{i}" for i in range(len(more))]
+    rows = marks.select("doc_id", "n", "d1", "d2", *extra)
     classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id"))
-    edges = _candidates(marks.join(reps, "doc_id", "left_semi").drop("d1", "d2"), conf)
+    edges = _candidates(marks.select("doc_id", "n", "first", "keys").join(reps, "doc_id", "left_semi"), conf)
     clusters = written(components(edges), "clusters")
 
     sizes_of = rows.where("n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
@@ -442,5 +448,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join =
             F.col("n").alias("n_shingles"),
             F.coalesce("_rep", "doc_id").alias("class_id"),
             F.coalesce("_group", "root", "doc_id").alias("component_id"),
+            *(F.col(e).alias(c) for e, c in zip(extra, more, strict=True)),
         )
     )
