@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeflow.functions import rules
+from noticeflow.functions.korean import aliases
 
 
 def casefold(c: Column) -> Column:
@@ -101,29 +103,47 @@ def dedup_key(url: Column, agency: Column, title: Column) -> Column:
     return casefold(F.when(link != "", link).otherwise(F.concat(agency, F.lit("\x1f"), squeeze(title))))
 
 
-def parse_date(c: Column) -> Column:
-    """ISO or dotted date at the start (never any later pattern), eight digits, Korean
-    year-month-day, or a two-digit year; a date that does not exist is null."""
-
-    def made(pattern: str, century: str = "") -> tuple[Column, Column]:
-        y, m, d = (F.regexp_extract(c, pattern, i) for i in (1, 2, 3))
-        text = F.concat(F.lit(century), y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
-        return y != "", F.try_to_date(text, "yyyy-MM-dd")
-
-    out = F.lit(None).cast("date")
-    for pattern, century in reversed(
-        (
-            (r"^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", ""),
-            (r"^\s*([0-9]{4})([0-9]{2})([0-9]{2})(?:[^0-9]|$)", ""),
-            (r"(20[0-9]{2})\s*년\s*([0-9]{1,2})\s*월\s*([0-9]{1,2})\s*일", ""),
-            (r"(?:^|[^0-9.])([0-9]{2})[.\-/]([0-9]{1,2})[.\-/]([0-9]{1,2})(?:[^0-9.]|$)", "20"),
-        )
-    ):
-        found, day = made(pattern, century)
-        out = F.when(found, day).otherwise(out)
+def _day(c: Column, pattern: str, century: str = "", parts=(1, 2, 3)) -> tuple[Column, Column]:
+    """(whether the pattern is there, the date of its first match; null if there is no such day)."""
+    y, m, d = (F.regexp_extract(c, pattern, i) for i in parts)
+    return y != "", F.try_to_date(F.concat(F.lit(century), y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+
+
+def _first_of(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    out = otherwise
+    for found, value in reversed(cases):
+        out = F.when(found, value).otherwise(out)
     return out
 
 
+def coerce_date(c: Column) -> Column:
+    """A date anywhere in a text.  The first form that is there decides, not the leftmost
+    date: full year, Korean, eight digits, two-digit year."""
+    edge, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    short = r"(?<![\d.])(\d{2})[.\-/](\d{1,2})[.\-/](\d{1,2})(?![\d.])"
+    cases = [
+        _day(c, rf"{edge}(20\d{{2}})[.\-/](\d{{1,2}})[.\-/](\d{{1,2}}){after}"),
+        _day(c, r"(20\d{2})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일"),
+        _day(c, r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)"),
+        _day(c, short, "20"),
+    ]
+    return _first_of(cases, F.lit(None).cast("date"))
+
+
+_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+
+
+def parse_date(c: Column) -> Column:
+    """A date at the start or eight digits alone (never any later form, if there is no such
+    day), the date of a mail header, or any form of ``coerce_date``."""
+    s = F.trim(c)
+    mail = r"(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})"
+    month = F.regexp_extract(s, mail, 2)
+    day = F.try_to_date(F.concat_ws(" ", F.lpad(F.regexp_extract(s, mail, 1), 2, "0"), month, F.regexp_extract(s, mail, 3)), "dd MMM yyyy")
+    cases = [_day(s, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"), _day(s, r"^(\d{4})(\d{2})(\d{2})$"), (month.rlike(f"^(?:{_MONTHS})$"), day)]
+    return _first_of(cases, coerce_date(s))
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -145,6 +165,12 @@ def is_external(url: Column, home: str) -> Column:
     return known | ~((h == own) | h.endswith("." + own))
 
 
+@lru_cache(maxsize=1)
+def _romanised() -> str:
+    """An expression for any category word as it is spelt in addresses."""
+    return "|".join(sorted({a for _, words in rules.CATEGORY_HINTS for w in words for a in aliases(w)}))
+
+
 def board_score(url: Column, label: Column) -> Column:
     """How likely a link is a board list: words of the address, label, and depth."""
     low = F.lower(F.coalesce(url, F.lit("")))
@@ -154,6 +180,7 @@ def board_score(url: Column, label: Column) -> Column:
     return (
         F.least(hits, F.lit(3)) * 2
         + F.when(contains_any(low, rules.QUERY_HINTS), 2).otherwise(0)
+        + F.when(low.rlike(_romanised()), 3).otherwise(0)
         - F.when(contains_any(low, rules.INTRO_HINTS), 3).otherwise(0)
         + F.when(classify(label) != "", 3).otherwise(0)
         - F.least(F.abs(depth - 3), F.lit(3))

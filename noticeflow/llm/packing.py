@@ -20,6 +20,7 @@ empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import zlib
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,13 @@ from pyspark.sql import functions as F
 from noticeflow.llm.storage import drop, written
 
 END = b"\0\0\0\0"
+#: Letters and marks between which, and around line ends, pieces are cut for sure.
+_LETTERS, _POINTS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?$%&*#|<>"
+_AFTER = frozenset(_POINTS + "\n")
+#: Bytes of text that are taken at a time.
+_TEXT = 4_000_000
+#: A space before white space or the end, where texts are not simply cut.
+_ODD = r" (?:[\x{1}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
 
 @dataclass(frozen=True)
@@ -47,7 +56,7 @@ class Conf:
     population: int = 6
     rounds: int = 4
     generations: int = 25
-    cache: int = 400_000
+    cache: int = 250_000
 
 
 class Encoder(dict):
@@ -57,11 +66,12 @@ class Encoder(dict):
     that is not white space itself; nor do special tokens without spaces.  So texts are cut
     there, and the ids of each short part (which starts with its space) are kept in a
     bounded cache: this object, from part to ids, and the one before it, from which parts
-    that are met again come back.  Punctuation after letters is a piece of its own.  A
+    that are met again come back; both grow by the parts of a few megabytes at most.  Letters,
+    marks after them and line ends are pieces of their own.  A
     tokenizer file for which this does not hold is run over whole texts.
     """
 
-    def __init__(self, path: str, size: int = 400_000) -> None:
+    def __init__(self, path: str, size: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -71,33 +81,53 @@ class Encoder(dict):
         self._whole = table.get("normalizer") is not None or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or not all(plain)
         self._encode = Tokenizer.from_file(path).encode
         self._cut = re.compile(r" (?=\S)").split
-        self._odd = re.compile(r" (?:\s|\Z)").search
-        self._word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)").fullmatch
-        self._letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]{1,64}").fullmatch
-        self._size, self._before, self._points = size, {}, {}
+        self._word = re.compile(rf"([{_LETTERS}]{{1,64}})([{_POINTS}]*)((?:\n[{_LETTERS}]{{1,64}}[{_POINTS}]*)*)").fullmatch
+        self._letters = re.compile(f"[{_LETTERS}]{{1,64}}").match
+        self._size, self._before, self._pieces = size, {}, {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _rest(self, points: str, tail: str) -> bytes:
+        """Punctuation, and lines of a word and punctuation each, after a word."""
+        out = self._piece(points) if points else b""
+        for line in tail.split("\n")[1:]:
+            word = line.rstrip(_POINTS)
+            out += self._piece("\n") + self._piece(word)
+            if len(word) < len(line):
+                out += self._piece(line[len(word) :])
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that has no space before it."""
+        out = self._pieces.get(piece)
+        if out is None:
+            if len(self._pieces) >= self._size:
+                self._pieces.clear()
+            out = self._pieces[piece] = self.ids(piece)
+        return out
+
+    def head(self, part: str) -> bytes:
+        """Ids of the first part of a text."""
+        if found := self._word(part):
+            return self._piece(found[1]) + self._rest(found[2], found[3])
+        return self.ids(part) if part else b""
+
     def __missing__(self, part: str) -> bytes:
         out = self._before.get(part)
         if out is None:
-            if found := self._word(part):
-                word, points = found.groups()
-                if points not in self._points:
-                    if len(self._points) >= 1000:
-                        self._points.clear()
-                    self._points[points] = self.ids(points)
-                out = self[word] + self._points[points]
-            else:
-                out = self.ids(" " + part)
+            found = self._word(part)
+            out = self[found[1]] + self._rest(found[2], found[3]) if found and (found[2] or found[3]) else self.ids(" " + part)
         if len(part) <= 64:
-            if len(self) >= self._size:
-                self._before = dict(self)
-                self.clear()
             self[part] = out
         return out
 
+    def _turn(self) -> None:
+        """Between texts: a full cache becomes the one before."""
+        if len(self) >= self._size:
+            self._before = dict(self)
+            self.clear()
+
     def learn(self, words: list[str]) -> None:
         """Caches words of letters by one run over all of them: each is a piece of its own."""
         for at in range(0, len(words), 4096):
@@ -107,27 +137,61 @@ class Encoder(dict):
             if len(of) and of[-1] + 1 == len(own):
                 ends = np.searchsorted(of, np.arange(1, len(own) + 1)).tolist()
                 data = ids.tobytes()
-                if len(self) + len(own) > self._size:
-                    self._before = dict(self)
-                    self.clear()
                 self.update((w, data[4 * i : 4 * j]) for w, i, j in zip(own, [0, *ends], ends, strict=False))
 
-    def documents(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; new words of all of them are run over together."""
-        if self._whole:
-            yield from map(self.ids, texts)
-            return
-        cut = [self._cut(t) if self._odd(t) else t.split(" ") for t in texts]
-        new, known, letters = set(), self._before, self._letters
-        for parts in cut:
-            new.update(parts[1:])
-        fresh = {w for p in new.difference(self) if p not in known and (w := p.rstrip(".,;:!?")) not in self and w not in known and letters(w)}
+    def columns(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column without nulls, some megabytes of text at a time."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TEXT, "right")))
+            part = texts.slice(at, to - at)
+            if self._whole or pc.any(pc.match_substring_regex(part, _ODD)).as_py():
+                yield from (np.frombuffer(self.document(t), "<u4") for t in part.to_pylist())
+            else:
+                yield from self._plain(part)
+            at = to
+
+    def _plain(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Texts that can be cut at each space: distinct parts are looked up, ids gathered."""
+        self._turn()
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = cut.flatten().dictionary_encode()
+        codes, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        self._meet(parts)
+        known = [self[p] for p in parts]
+        # The first part of a text has no space before it.
+        heads = bounds[:-1]
+        first = coded.dictionary.take(coded.indices.take(pa.array(heads))).to_pylist()
+        known += map(self.head, first)
+        codes[heads] = len(parts) + np.arange(len(heads))
+        data = np.frombuffer(b"".join(known), "<u4")
+        size = np.array([len(k) for k in known], np.int64) // 4
+        start, count = np.cumsum(size) - size, size[codes]
+        ends = np.cumsum(count)
+        ids = data[np.repeat(start[codes] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        edge = np.concatenate(([0], ends[bounds[1:] - 1])).tolist()
+        return (ids[i:j] for i, j in itertools.pairwise(edge))
+
+    def _meet(self, parts: list[str]) -> None:
+        """Runs over the new words among these parts together."""
+        known, letters, fresh = self._before, self._letters, set()
+        for p in parts:
+            if p not in self and p not in known and (m := letters(p)) and (w := m[0]) not in self and w not in known:
+                rest = p[len(w) : len(w) + 1]
+                if not rest or rest in _AFTER:
+                    fresh.add(w)
         self.learn(sorted(fresh))
-        for first, *parts in cut:
-            yield (self.ids(first) if first else b"") + b"".join([self[p] for p in parts])
 
     def document(self, text: str) -> bytes:
-        return next(self.documents([text]))
+        if self._whole:
+            return self.ids(text)
+        self._turn()
+        first, *parts = self._cut(text)
+        self._meet(list(set(parts)))
+        return self.head(first) + b"".join([self[p] for p in parts])
 
 
 @functools.lru_cache(maxsize=1)
@@ -145,9 +209,9 @@ def _pieces(path: str, conf: Conf):
         for batch in batches:
             docs, piece, start, length, crc = [], [], [], [], []
             ids = batch.column(0)
-            for i, body in enumerate(encoder.documents([t or "" for t in batch.column(1).to_pylist()])):
-                data = body + END
-                total = len(data) // 4
+            texts = batch.column(1).fill_null("")
+            for i, body in enumerate(encoder.columns(texts)):
+                total = len(body) + 1
                 cut = total % conf.length or min(total, conf.length)
                 at, k = 0, 0
                 while at < total:
@@ -155,7 +219,8 @@ def _pieces(path: str, conf: Conf):
                     piece.append(k)
                     start.append(at)
                     length.append(cut)
-                    crc.append(zlib.crc32(data if cut == total else memoryview(data)[4 * at : 4 * (at + cut)]))
+                    sum_ = zlib.crc32(body[at : at + cut])
+                    crc.append(zlib.crc32(END, sum_) if at + cut == total else sum_)
                     at, k, cut = at + cut, k + 1, conf.length
             yield pa.record_batch(
                 [
@@ -289,11 +354,13 @@ def _insert(child: np.ndarray, items: np.ndarray, sizes: np.ndarray, capacity: i
 def evolve(sizes: np.ndarray, population: list[np.ndarray], conf: Conf, rng: np.random.Generator) -> list[np.ndarray]:
     """Some generations of one island; the best individual comes first."""
     n, plain = len(sizes), sizes.tolist()
+    least = -(-int(sizes.sum()) // conf.length)
     while len(population) < conf.population:
+        if population and int(population[0].max()) + 1 <= least:
+            break
         noise = 1.0 if not population else 1 + 0.15 * rng.random(n)
         order = np.argsort(-sizes * noise, kind="stable").tolist()
         population.append(best_fit(order, plain, np.zeros(n, np.int64), [], conf.length))
-    least = -(-int(sizes.sum()) // conf.length)
     ranked = sorted(((_fitness(p, sizes, conf.length), i, p) for i, p in enumerate(population)), key=lambda x: (x[0], -x[1]), reverse=True)
     pool = [(f, p) for f, _, p in ranked][: conf.population]
     for _ in range(conf.generations):

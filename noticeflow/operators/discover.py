@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeflow.functions import rules
 from noticeflow.functions import text as T
 from noticeflow.functions import urls as U
 from noticeflow.sources import pages
 from noticeflow.storage import written
 
-#: Registered domains below these have three labels.
-SECOND_LEVELS = ("ac", "go", "or", "re", "co", "ne", "pe", "hs", "ms", "es")
-
-
 def site_root(host: Column) -> Column:
-    """The registered domain of a host."""
-    parts = F.split(F.regexp_replace(host, r"^www\.", ""), r"\.")
+    """The registered domain of a host: three labels below the listed suffixes, else two."""
+    parts = F.split(F.lower(host), r"\.")
     n = F.size(parts)
-    take = F.when((n >= 3) & F.element_at(parts, F.greatest(n - 1, F.lit(1))).isin(*SECOND_LEVELS), 3).otherwise(2)
+    suffix = F.array_join(F.slice(parts, F.greatest(n - 1, F.lit(1)), 2), ".")
+    take = F.when((n >= 3) & suffix.isin(*rules.SECOND_LEVELS), 3).otherwise(2)
     return F.array_join(F.slice(parts, F.greatest(n - take + 1, F.lit(1)), take), ".")
 
 

@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeflow.functions import rules
+from noticeflow.functions import text as T
+
 _QUIET = {"script", "style", "noscript", "template"}
 
 
@@ -78,23 +81,6 @@ def anchors_of(html: str | None, base: str | None) -> list[tuple[str, str]]:
     return list(out.items())
 
 
-_DATE = re.compile(r"(?<![0-9])(20[0-9]{2})[.\-/]([0-9]{1,2})[.\-/]([0-9]{1,2})(?![0-9])")
-
-
-def board_rows(html: str | None, base: str | None) -> list[tuple[str, str, str]]:
-    """(title, link, date text) of a board's table rows: the longest linked cell is the title."""
-    out = []
-    for row in parse(html).rows:
-        cells = [(" ".join(t.split()), h) for t, h in row]
-        linked = [(t, h) for t, h in cells if h and len(t) >= 2 and not h.lower().startswith("javascript:")]
-        if not linked:
-            continue
-        title, href = max(linked, key=lambda x: len(x[0]))
-        dates = [m.group() for t, _ in cells if (m := _DATE.search(t))]
-        out.append((title, urljoin(base or "", href), dates[0] if dates else ""))
-    return out
-
-
 def _each(parse_one, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,23 +99,21 @@ def anchors(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(_each(anchors_of, ["page_id", "pos", "url", "text"]), "page_id long, pos int, url string, text string")
 
 
-def boards(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, title, url, date) of the rows of captured board lists."""
-    schema = "page_id long, pos int, title string, url string, date string"
-    return pages.select("page_id", "url", "html").mapInArrow(_each(board_rows, ["page_id", "pos", "title", "url", "date"]), schema)
-
-
-_KINDS = (("PDF", "pdf"), ("HWP", "hwpx?"), ("DOC", "docx?"), ("XLS", "xlsx?"), ("PPT", "pptx?"), ("ZIP", "zip"), ("CSV", "csv"))
-#: Words, in label or address, of links to related files; and labels that name nothing.
-LINK_HINTS = ("첨부", "붙임", "다운로드", "download", "관련자료", "관련 자료", "filedown", "file_down")
+# File kinds by ending; words, in label or address, of links to related files;
+# and labels that name nothing.
+_KINDS = {
+    ".pdf": "PDF", ".hwp": "HWP", ".hwpx": "HWP", ".doc": "DOC", ".docx": "DOC", ".xls": "XLS", ".xlsx": "XLS", ".ppt": "PPT", ".pptx": "PPT",
+    ".zip": "ZIP", ".csv": "CSV",
+}
+LINK_HINTS = ("첨부", "붙임", "다운로드", "download", "관련자료", "관련 자료", "fileDown", "file_down")
 NOISE_LABELS = ("", "바로가기", "more", "더보기", "목록", "이전", "다음", "인쇄", "공유")
 
 
 def attachment_kind(url: Column) -> Column:
     """The kind of file an address ends in, before any query; else empty."""
     out = F.lit("")
-    for kind, ext in reversed(_KINDS):
-        out = F.when(F.lower(url).rlike(rf"\.(?:{ext})(?:$|[?#])"), kind).otherwise(out)
+    for ext, kind in _KINDS.items():
+        out = F.when(F.lower(url).rlike(rf"\{ext}(?:$|[?#])"), kind).otherwise(out)
     return out
 
 
@@ -143,7 +127,7 @@ def deep_links(links: DataFrame, most: int = 5) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "url", "label"))
     hinted = F.lit(False)
     for hint in LINK_HINTS:
-        hinted = hinted | text.contains(hint)
+        hinted = hinted | text.contains(hint.lower())
     kind = attachment_kind(F.col("url"))
     name = F.substring(F.element_at(F.split(F.element_at(F.split("url", r"[?#]"), 1), "/"), -1), 1, 60)
     rows = links.withColumn("label", label).withColumn("kind", F.when(kind != "", kind).when(hinted, "링크")).where("kind is not null")
@@ -152,6 +136,32 @@ def deep_links(links: DataFrame, most: int = 5) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= most).select("page_id", "place", "label", "url", "kind")
 
 
-def literal_urls(html: Column) -> Column:
-    """Distinct quoted http addresses in a page's source."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r"[\"'](https?://[^\"'\s<>]+)[\"']"), F.lit(1)))
+def mined_urls(captured: DataFrame, most: int = rules.MOST_MINED) -> DataFrame:
+    """(page_id, place, url, score) of addresses in a page's source that look like boards.
+
+    ``captured`` has page_id, url and html.  Addresses on the same site that are no files and
+    have a score above 0, the best first; relative ones are joined with the page's own.
+    """
+    base = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    raw = F.regexp_extract_all(F.replace("html", F.lit("\\/"), F.lit("/")), F.lit(rules.URL_LITERAL), F.lit(1))
+    each = captured.select("page_id", T.host(F.col("url")).alias("home"), base.alias("base"), F.explode(F.array_distinct(raw)).alias("raw")).where(~F.col("raw").startswith("//"))
+    whole = F.when(F.col("raw").startswith("/"), F.concat("base", "raw")).otherwise(F.col("raw"))
+    rows = each.select("page_id", "home", F.regexp_replace(whole, "#.*$", "").alias("url")).distinct()
+    path, host = F.lower(T.path(F.col("url"))), T.bare_host(T.host(F.col("url")))
+    asset = F.lit(False)
+    for tail in rules.ASSET_TAILS:
+        asset = asset | path.endswith(tail)
+    own = T.bare_host(F.col("home"))
+    known = F.lit(False)
+    for x in rules.EXTERNAL_HOSTS:
+        known = known | (host == x) | host.endswith("." + x)
+    inside = ((host == own) | host.endswith(F.concat(F.lit("."), own))) & ~known
+    scored = rows.where(inside & ~asset & ~path.isin("", "/")).withColumn("score", T.board_score(F.col("url"), F.lit(""))).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "url"))
+    return scored.withColumn("place", place).where(F.col("place") <= most).select("page_id", "place", "url", "score")
+
+
+def is_feed(data: Column) -> Column:
+    """Whether bytes are a feed: its root early on, and a part of its body."""
+    text = lambda n: F.decode(F.substring(data, 1, n), "ISO-8859-1")
+    return F.coalesce(text(2048).rlike(rules.FEED_ROOT) & text(65536).rlike(rules.FEED_BODY), F.lit(False))

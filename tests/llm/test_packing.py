@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,9 +21,10 @@ def ids(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "b", "'s", " ", "  ", "1", ".", "?!", ",", "\n", "\t", "\xa0", "\x1c", "\x85", "é", "日", "<|endoftext|>", "<|end", "\u3000"]), max_size=30).map("".join))
+@given(st.lists(st.sampled_from(["a", "b", "'s", " ", "  ", "1", ".", "?!", ",", "$$", "ßa", "\na", "\nB.", "\n", "\t", "\xa0", "\x1c", "\x85", "é", "日", "<|endoftext|>", "<|end", "\u3000"]), max_size=30).map("".join))
 def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(ENCODER.document(text), "<u4").tolist() == ids(text)
+    assert [x.tolist() for x in ENCODER.columns(pa.array([text, "", "a b", text + " c"]))] == [ids(text), [], ids("a b"), ids(text + " c")]
 
 
 def test_special_tokens_are_kept():
