@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -50,10 +51,9 @@ def title_tokens(c: Column) -> Column:
 
 
 def contains_any(text: Column, parts: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for p in parts:
-        found = found | text.contains(p)
-    return found
+    """One expression for all parts, so that a long list does not outgrow compiled code."""
+    words = [re.escape(p) for p in parts]
+    return text.rlike("|".join(words)) if words else F.lit(False)
 
 
 def _first(text: Column, table) -> Column:

@@ -21,13 +21,16 @@ def by_agency(notices: DataFrame, part: str | None) -> DataFrame:
     return notices.where(F.col("agency").contains(part)) if part else notices
 
 
-def first_wins(notices: DataFrame, key: Column | None = None, order=SEQUENCE) -> DataFrame:
+def first_wins(notices: DataFrame, key: Column | None = None, order=SEQUENCE, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Of rows with one key the first in source order, found by a partial aggregate.
 
-    Groups of equal keys are never sorted or gathered: each task sends its first row.
+    Groups of equal keys are never sorted or gathered: each task sends its first row.  The
+    aggregate carries all columns, or ``columns`` besides those of the order; name those
+    that are needed, as a scan cannot be pruned through it.
     """
     key = T.dedup_key(F.col("url"), F.col("agency"), F.col("title")) if key is None else key
     rows = notices.withColumn("_key", key)
+    notices = notices if columns is None else notices.select(*order, *columns)
     names = [c for c in notices.columns if c not in order]
     least = F.min_by(F.struct(*names), F.struct(*order)) if names else F.lit(None)
     got = rows.groupBy("_key").agg(F.min(F.struct(*order)).alias("_o"), least.alias("_r"))
@@ -89,3 +92,39 @@ def merge_state(current: DataFrame, previous: DataFrame | None, cap: int = 20_00
         rows = now.unionByName(rest)
     top = rows.orderBy("part", "at", "key").limit(cap)
     return top.select((F.row_number().over(Window.orderBy("part", "at", "key")) - 1).alias("pos"), "key")
+
+
+def within_days(notices: DataFrame, now: str, days: int) -> DataFrame:
+    """Notices of the last days, one to ninety of them, and those without a date."""
+    return since(notices, now, min(max(days, 1), 90))
+
+
+def filtered(notices: DataFrame, group: str = "", org: str = "", word: str = "") -> DataFrame:
+    """Rows that fit all that is asked; words are found whatever their case."""
+    out = notices
+    if group:
+        out = out.where(T.canonical(F.col("category")) == group)
+    if org:
+        out = out.where(F.col("org") == org)
+    return out.where(F.lower("title").contains(word.lower())) if word else out
+
+
+def fresh(notices: DataFrame, seen: DataFrame) -> DataFrame:
+    """``is_fresh``: the organisation was seen before, and this address was not."""
+    orgs = seen.select("org", F.lit(True).alias("_org")).distinct()
+    urls = seen.select("url", F.lit(True).alias("_url")).distinct()
+    rows = notices.join(orgs, "org", "left").join(urls, "url", "left")
+    return rows.withColumn("is_fresh", F.col("_org").isNotNull() & F.col("_url").isNull()).drop("_org", "_url")
+
+
+def enriched(notices: DataFrame, links: DataFrame, most: int = 20, mode: str = "conservative") -> DataFrame:
+    """``notices`` with ``links``: those of the pages of the first rows whose licence allows it.
+
+    ``links`` has url and an array ``links``.  Rows beyond the budget pass unchanged; the
+    rows within it are few by that budget, so they may be broadcast.
+    """
+    may = F.lit(True) if mode == "full" else T.allows_derivative(F.col("rights"))
+    first = notices.where(may & (F.col("url") != "")).orderBy(*report_order()).limit(most).select(*SEQUENCE, "url")
+    found = links.join(F.broadcast(first), "url").select(*SEQUENCE, F.col("links").alias("_links"))
+    kind = "array<struct<label:string,url:string,kind:string>>"
+    return notices.join(F.broadcast(found), list(SEQUENCE), "left").withColumn("links", F.coalesce("_links", F.array().cast(kind))).drop("_links")

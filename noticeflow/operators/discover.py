@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions import rules
 from noticeflow.functions import text as T
 from noticeflow.functions import urls as U
+from noticeflow.operators import boards
 from noticeflow.sources import pages
 from noticeflow.storage import written
 
@@ -35,7 +36,7 @@ def verdict(url: Column, home: Column, rows: Column, dated: Column) -> Column:
 
 def probe(captured: DataFrame) -> DataFrame:
     """(page_id, url, rows, dated, verdict) of captured pages (page_id, url, html, home)."""
-    counts = pages.boards(captured).groupBy("page_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("date") != "").alias("dated"))
+    counts = boards.lists(captured).select("page_id", F.size("posts").alias("rows"), F.size(F.filter("posts", lambda p: p["published"].isNotNull())).alias("dated")).where("rows > 0")
     rows = captured.select("page_id", "url", "home").join(counts, "page_id", "left")
     return rows.select("page_id", "url", "rows", "dated", verdict(F.col("url"), F.col("home"), F.col("rows"), F.coalesce("dated", F.lit(0))).alias("verdict"))
 

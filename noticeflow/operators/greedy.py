@@ -82,18 +82,24 @@ def near_sets(sets: DataFrame) -> DataFrame:
     return sized.where("2 * k >= u").select("a", "b", "k", "u")
 
 
-def clusters(notices: DataFrame, rounds: int | None = None) -> DataFrame:
+def _tokens(within: str | None) -> Column:
+    tokens = T.title_tokens(F.col("title"))
+    return tokens if within is None else F.transform(tokens, lambda t: F.concat_ws("\x1e", t, F.col(within)))
+
+
+def clusters(notices: DataFrame, rounds: int | None = None, within: str | None = None) -> DataFrame:
     """``notices`` (src_idx, item_idx unique) with leader_src, leader_item: leader clustering.
 
     In the order of date (newest first, none last), title and source, an item joins the most
     similar earlier leader of similarity one half or more, the earliest of equals, or leads
     itself.  Titles with the same tokens are one class: only its first item can lead, so
     leaders are found among classes, and every other item then looks among those before it.
-    Titles without tokens lead themselves.
+    Titles without tokens lead themselves.  With ``within`` only rows that are equal in that
+    column meet: it is one more part of each token, so other rows share none.
     """
     day = F.coalesce(F.date_diff(F.lit("9999-12-31").cast("date"), F.col("published")), F.lit(2**31 - 1))
     at = F.struct(day.alias("day"), F.col("title").alias("title"), F.col("src_idx").alias("src"), F.col("item_idx").alias("item"))
-    rows = notices.withColumn("_at", at).withColumn("_tokens", F.array_sort(T.title_tokens(F.col("title"))))
+    rows = notices.withColumn("_at", at).withColumn("_tokens", F.array_sort(_tokens(within)))
     rows = rows.withColumn("_id", F.sha2(F.concat_ws("\x1f", "_tokens"), 256))
     items = rows.where(F.size("_tokens") > 0)
     classes = written(items.groupBy(F.col("_id").alias("id")).agg(F.min("_at").alias("at"), F.first("_tokens").alias("tokens")), "classes")

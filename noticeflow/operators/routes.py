@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import rules
 from noticeflow.functions import text as T
+from noticeflow.functions import urls as U
 
 #: Of each source and category: stage_ord, stage, robots_ok, fetched, n_rows.
 ATTEMPT_KEYS = ("src_idx", "category")
@@ -47,9 +48,7 @@ def plan(routes: DataFrame, most: int = 15) -> DataFrame:
     The first of each address stays; then a route's level is its place within its category,
     and the least levels win, specific categories first.
     """
-    plain = F.lower(F.regexp_replace(F.trim("url"), "#.*$", ""))
-    board = F.regexp_extract(plain, r"^[a-z]+://([^/]+/(?:[^?]*?/)?bbs/[^/?]+/[0-9]+)/", 1)
-    key = F.when(board != "", F.concat(F.lit("k2:"), board)).otherwise(plain)
+    key = U.board_key(F.col("url"))
     first = Window.partitionBy("org_id", "_key").orderBy("group_ord", "pos")
     rows = routes.withColumn("_key", key).withColumn("_r", F.row_number().over(first)).where("_r = 1")
     name = T.canonical(F.col("category"))
@@ -120,3 +119,49 @@ def access(checks: DataFrame, roots: DataFrame) -> DataFrame:
         .otherwise(shut)
     )
     return rows.select("org", "paths", F.col("open").alias("allowed"), verdict.alias("verdict"))
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    """(verdict, label, n), blocked organisations first."""
+    labels = F.create_map(*(F.lit(x) for kv in rules.VERDICT_LABELS.items() for x in kv))
+    counts = verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct((F.col("verdict") != "blocked").alias("open"), F.col("verdict").alias("name"))
+    # A row for each of five verdicts.
+    return counts.select("verdict", F.element_at(labels, F.col("verdict")).alias("label"), "n", F.row_number().over(Window.orderBy(order)).alias("pos"))
+
+
+def by_route(attempts: DataFrame) -> DataFrame:
+    """(src_idx, category, route, stage, n_rows, trail, ok) of routes tried one by one.
+
+    ``attempts`` have ``route`` besides what ``tried`` needs; the press feed is route -1 and
+    is asked only by sources none of whose press routes gave rows.
+    """
+    keys = ("src_idx", "category", "route")
+    ok = F.col("robots_ok") & F.col("fetched") & (F.col("n_rows") > 0)
+    own = attempts.withColumn("ok", ok)
+    press = own.where((F.col("category") == rules.KOREA_CATEGORY) & (F.col("route") >= 0) & F.col("ok")).select("src_idx").distinct()
+    asked = own.where("route >= 0").unionByName(own.where("route < 0").join(press, "src_idx", "left_anti"))
+    first = F.min(F.when(F.col("ok"), F.col("stage_ord"))).over(Window.partitionBy(*keys))
+    made = asked.withColumn("winner", first).where("winner is null or stage_ord <= winner")
+    said = F.concat("stage", F.lit(": "), F.when(F.col("ok"), F.concat(F.col("n_rows").cast("string"), F.lit("건"))).otherwise(reason()))
+    # A route has a few stages, so its attempts may be gathered.
+    trail = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("stage_ord").alias("o"), said.alias("t")))), lambda x: x["t"]), " → ")
+    win = F.max(F.when(F.col("ok"), F.struct("stage", "n_rows")))
+    out = made.groupBy(*keys).agg(trail.alias("trail"), win.alias("w"))
+    return out.select(*keys, F.coalesce("w.stage", F.lit("")).alias("stage"), F.coalesce("w.n_rows", F.lit(0)).alias("n_rows"), "trail", F.col("w").isNotNull().alias("ok"))
+
+
+def failures(results: DataFrame) -> DataFrame:
+    """(src_idx, category, trails) of categories none of whose routes gave rows."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("route", "trail"))), lambda x: x["trail"]), " / ")
+    return results.groupBy("src_idx", "category").agg(F.bool_or("ok").alias("ok"), text.alias("trails")).where("not ok").drop("ok")
+
+
+def contributing(kept: DataFrame, routes: DataFrame) -> DataFrame:
+    """The routes (src_idx, route) of which a kept notice came."""
+    return routes.join(kept.select("src_idx", "route").distinct(), ["src_idx", "route"], "left_semi")
+
+
+def failure_reasons(attempts: DataFrame) -> DataFrame:
+    """(reason, n): how often each reason ended an attempt, most frequent first by n, name."""
+    return tried(attempts).where("not ok").groupBy(reason().alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
-from noticeflow.functions import rules
-from noticeflow.functions.korean import aliases
+import unicodedata
+
+from noticeflow.functions import korean, rules
 from noticeflow.plans.views import LABELS, NOTICES_SQL, ORDERS_SQL
 
 NOW, DAYS = "2024-06-30", 180
-DATES = ("2024-03-05", "2024.3.5 10:00", "20240305", "2024년 3월 5일", "24.03.05", "2024-13-40 24.03.05", "no date", "게시2024/12/31")
+DATES = (
+    "2024-03-05", "2024.3.5 10:00", "20240305", "2024년 3월 5일", "24.03.05", "2024-13-40 24.03.05", "no date", "2024/12/31", "Tue, 05 Mar 2024 10:00:00 +0900", "5 Foo 2024",
+    "2024. 3. 5.", "99.12.31", "24.13.05", "20241305", "2024-02-30", "24-3-5", "2024년3월 5일", "120240305",
+)
+DATE_HEADS = ("", "등록일 ", "(", "게시", "x", "9", " ")
+DATE_TAILS = ("", ")", " 24.01.02", "호", "1", " 마감")
+LABEL_CORES = ("공지사항", "학사", "READ", "더보기", "장학 안내", "그림자의+밤", "리더", "취업게시판", "")
+LABEL_HEADS = ("", "- ", "· ", "+ ", "전체 ", "▶more ")
+LABEL_TAILS = ("", " 더보기", "목록", "(목록)", " 게시판", " more", "+", " 바로 가기", "more", " 더", " 2024학년도")
+TITLE_HEADS = ("", "[국립도서관] 새글 ", "새글 ", "첨부파일 있음 열기 ", "공지 [기획팀] ", "[a] ")
+TITLE_TAILS = ("", "새글", "첨부파일이 1개 있음", "새글 첨부파일 있음", "조회수 109", "총무팀 조회 37", "등록일 2026.10.08 조회 3", "비밀글입니다", "https://a-very-long-address.example.kr/x/y/z", "N")
+SLOT_LABELS = ("공지사항", "장학공지", "입학", "채용", "컴퓨터학과 공지", "자료실", "대학원 공지", "Q&A", "2027년도 장학", "학사 일정", "장학 서식")
+
+
+def _letters(word: str, spoken: bool) -> str:
+    """A word in Latin letters by its decomposed form, whose parts are code points in order."""
+    out = ""
+    for c in unicodedata.normalize("NFD", word):
+        at = ord(c)
+        if 0x1100 <= at < 0x1113:
+            out += korean.INITIALS[at - 0x1100]
+        elif 0x1161 <= at < 0x1176:
+            out += korean.VOWELS[at - 0x1161]
+        elif 0x11A8 <= at < 0x11C3:
+            out += (korean.SPOKEN if spoken else korean.FINALS)[at - 0x11A7]
+        elif c.isalnum():
+            out += c.lower()
+    return out
+
+
+def aliases(word: str) -> list[str]:
+    found = set()
+    for spoken in (False, True):
+        if len(_letters(word, spoken)) >= 3:
+            found.add(_letters(word, spoken))
+            if len(word) > 1 and len(_letters(word[:2], spoken)) >= 4:
+                found.add(_letters(word[:2], spoken))
+    return sorted(found)
 
 
 def _s(text: str) -> str:
@@ -79,25 +117,67 @@ LOW = "lower(url)"
 LABEL = f"({_list(LABELS)})[1 + page_id % 12]"
 HITS = " + ".join(f"CAST(contains({LOW}, '{h}') AS INTEGER)" for h in rules.BOARD_HINTS)
 BOARD = f"""(least({HITS}, 3) * 2 + CASE WHEN {' OR '.join(f"contains({LOW}, '{h}')" for h in rules.QUERY_HINTS)} THEN 2 ELSE 0 END
+    + CASE WHEN {' OR '.join(f"contains({LOW}, '{a}')" for a in sorted({a for _, ws in rules.CATEGORY_HINTS for w in ws for a in aliases(w)}))} THEN 3 ELSE 0 END
     - CASE WHEN {' OR '.join(f"contains({LOW}, '{h}')" for h in rules.INTRO_HINTS)} THEN 3 ELSE 0 END + CASE WHEN {classify('label')} <> '' THEN 3 ELSE 0 END
     - least(abs(length(regexp_replace(rtrim(split_part({LOW}, '?', 1), '/'), '[^/]', '', 'g')) - 2 - 3), 3))"""
 HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 RANK = "CASE name " + " ".join(f"WHEN '{n}' THEN {i if n in rules.SPECIFIC else 100 + i}" for i, (n, _) in enumerate(rules.CATEGORY_HINTS)) + f" ELSE {100 + len(rules.CATEGORY_HINTS)} END"
 
 
-def _date() -> str:
-    def made(pattern, century=""):
-        g = [f"regexp_extract(raw, {_s(pattern)}, {i})" for i in (1, 2, 3)]
-        return f"WHEN regexp_matches(raw, {_s(pattern)}) THEN TRY_CAST('{century}' || {g[0]} || '-' || lpad({g[1]}, 2, '0') || '-' || lpad({g[2]}, 2, '0') AS DATE)"
+def _date(c: str = "raw") -> str:
+    """Dates in RE2: a mark before or after stands for a look around."""
+
+    def made(x, pattern, g=(1, 2, 3), century=""):
+        y, m, d = (f"regexp_extract({x}, {_s(pattern)}, {i})" for i in g)
+        return f"WHEN regexp_matches({x}, {_s(pattern)}) THEN TRY_CAST('{century}' || {y} || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)"
+
+    t, mail = f"trim({c})", r"(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})"
+    month = f"list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], regexp_extract({t}, {_s(mail)}, 2))"
+    parts = (
+        made(t, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"),
+        made(t, r"^(\d{4})(\d{2})(\d{2})$"),
+        f"WHEN {month} > 0 THEN TRY_CAST(regexp_extract({t}, {_s(mail)}, 3) || '-' || lpad(CAST({month} AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract({t}, {_s(mail)}, 1), 2, '0') AS DATE)",
+        made(t, r"(?:^|[^\p{L}\p{N}_])(20\d{2})[.\-/](\d{1,2})[.\-/](\d{1,2})(?:$|[^\p{L}\p{N}_])"),
+        made(t, r"(20\d{2})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일"),
+        made(t, r"(?:^|\D)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:$|\D)"),
+        made(t, r"(?:^|[^\d.])(\d{2})[.\-/](\d{1,2})[.\-/](\d{1,2})(?:$|[^\d.])", century="20"),
+    )
+    return "CASE " + " ".join(parts) + " END"
+
+
+def _mixed(key: str, *lists) -> str:
+    parts, step = [], 1
+    for values in lists:
+        parts.append(f"({_list(values)})[1 + ({key} // {step}) % {len(values)}]")
+        step *= len(values)
+    return " || ".join(parts)
+
+
+def _flat(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
 
-    return "CASE " + " ".join(
-        (
-            made(r"^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})"),
-            made(r"^\s*([0-9]{4})([0-9]{2})([0-9]{2})(?:[^0-9]|$)"),
-            made(r"(20[0-9]{2})\s*년\s*([0-9]{1,2})\s*월\s*([0-9]{1,2})\s*일"),
-            made(r"(?:^|[^0-9.])([0-9]{2})[.\-/]([0-9]{1,2})[.\-/]([0-9]{1,2})(?:[^0-9.]|$)", "20"),
-        )
-    ) + " END"
+def _escape(word: str) -> str:
+    return word.replace("+", "\\+")
+
+
+_ONE = "(" + "|".join(_escape(w) for w in rules.MEANINGLESS if " " not in w) + ")"
+_GLUED = "^(" + "|".join(_escape(w.replace(" ", "")) for w in rules.MEANINGLESS) + ")+$"
+
+
+def _tidy(src: str, cols: str) -> str:
+    """CTEs t1 to t3; t3 has ``label``."""
+    tail = r"\s*[(\[]?\s*(게시판\s*)?목록\s*[)\]]?$"
+    return rf"""t1 AS (SELECT {cols}, trim(regexp_replace(regexp_replace({_flat('raw')}, '([가-힣])\+([가-힣])', '\1 \2', 'g'), '^[-–·•▶▷►>»※\s]+', '')) AS flat FROM {src}),
+        t2 AS (SELECT *, trim(regexp_replace(regexp_replace(flat, '((^| ){_ONE})+$', '', 'i'), '^({_ONE}( |$))+', '', 'i')) AS bare FROM t1),
+        t3 AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '(더\s*보기|바로\s*가기|\+)+$', '', 'i'), '\s+더$', ''), '([가-힣])more$', '\1', 'i'), '\s+more$', '', 'i')) AS cut FROM t2),
+        t4 AS (SELECT *, CASE WHEN regexp_matches(lower(replace(flat, ' ', '')), {_s(_GLUED)}) OR bare = '' OR regexp_matches(lower(replace(bare, ' ', '')), {_s(_GLUED)}) THEN ''
+            ELSE trim(regexp_replace(CASE WHEN length(cut) >= 2 THEN cut ELSE bare END, {_s(tail)}, '')) END AS label FROM t3)"""
+
+
+def _slot(c: str) -> str:
+    taken = f"{c} <> '' AND length({c}) <= 20 AND NOT regexp_matches({c}, {_s(rules.NOT_NOTICE)}) AND NOT regexp_matches({c}, {_s(rules.YEAR_IN_LABEL)})"
+    return f"CASE WHEN {taken} AND {classify(c)} IN ('공지', '학사', '장학', '입학', '채용') THEN {classify(c)} ELSE '' END"
 
 
 #: Addresses and what each is.
@@ -109,7 +189,34 @@ URL_SHAPES = (
 )
 URLS = tuple(u for u, _ in URL_SHAPES)
 PATHS = ("/gongji/list.do", "/news/haksa.jsp", "/x?bid=1", "/chaeyong#job", "/janghak/", "", "/press/1")
-_WORDS = ("지원하는", "지원하며", "학교에서는", "사업에서의", "공고", "하는", "모집합니다", "선발되었습니다", "대학원으로", "입학", "장학금으로써")
+
+
+def _clusters(source: str, rank: str, part: str = "''") -> str:
+    """Leader clustering by a scan: CTE ``cl`` has the rows of ``source`` with leader rank ``lead``.
+
+    Tokens are made ones of a row's part, so only rows of one part are near.  The scan carries
+    the list of leaders; a row leads if none of the earlier rows near it leads.
+    """
+    return f"""r0 AS (SELECT *, CAST(row_number() OVER (ORDER BY {rank}) AS INTEGER) AS rk, {part} AS part FROM {source}),
+        tk AS (SELECT DISTINCT rk, part, {fold('t')} AS t FROM (SELECT rk, part, unnest([regexp_replace(w, {STEM}) FOR w IN regexp_extract_all(title, '{rules.TOKEN}')]) AS t FROM r0) WHERE {TOPICAL}),
+        sz AS (SELECT rk, count(*) AS n FROM tk GROUP BY rk),
+        ov AS (SELECT a.rk AS i, b.rk AS j, count(*) AS k FROM tk a JOIN tk b ON a.t = b.t AND a.part = b.part AND a.rk < b.rk GROUP BY 1, 2),
+        nr AS (SELECT i, j, k, x.n + y.n - k AS u FROM ov JOIN sz x ON x.rk = i JOIN sz y ON y.rk = j WHERE 2 * k >= x.n + y.n - k),
+        nb AS (SELECT j AS rk, list(i) AS before FROM nr GROUP BY j),
+        st AS (SELECT rk, coalesce(before, []) AS before FROM r0 LEFT JOIN nb USING (rk)),
+        sc AS (SELECT 0 AS step, CAST([] AS INTEGER[]) AS leaders UNION ALL
+               SELECT sc.step + 1, CASE WHEN list_has_any(st.before, sc.leaders) THEN sc.leaders ELSE list_append(sc.leaders, st.rk) END FROM sc JOIN st ON st.rk = sc.step + 1),
+        ld AS (SELECT unnest(leaders) AS rk FROM (SELECT leaders FROM sc ORDER BY step DESC LIMIT 1)),
+        bs AS (SELECT j AS rk, i AS lead FROM nr JOIN ld ON ld.rk = i QUALIFY row_number() OVER (PARTITION BY j ORDER BY k / u DESC, i) = 1),
+        cl AS (SELECT r0.*, CASE WHEN r0.rk IN (SELECT rk FROM ld) THEN r0.rk ELSE coalesce(bs.lead, r0.rk) END AS lead FROM r0 LEFT JOIN bs USING (rk))"""
+
+
+NEWEST = "published DESC NULLS LAST, title, src_idx, item_idx"
+CLUSTERS = f"{CURRENT}, {_clusters('c', NEWEST)}"
+ISSUES = f"""{CLUSTERS}, g AS (SELECT lead, count(*) AS n, count(DISTINCT agency) AS agencies FROM cl GROUP BY lead HAVING count(*) >= 2),
+        iss AS (SELECT CAST(row_number() OVER (ORDER BY g.n DESC, h.published DESC NULLS LAST, h.title, h.src_idx, h.item_idx) AS INTEGER) AS pos, h.title, g.n, g.agencies, g.lead FROM g JOIN cl h ON h.rk = g.lead QUALIFY pos <= 5)"""
+BRIEF = f"{RELEVANCE}, m6 AS (SELECT * FROM m WHERE score >= 6), {_clusters('m6', NEWEST, 'section')}"
+
 
 
 def _weekly(source: str, weeks: int) -> str:
@@ -134,8 +241,12 @@ SQL = {
     "tokens_title": f"""WITH {NOTICES_SQL}, e AS (SELECT item_idx, unnest([regexp_replace(w, {STEM}) FOR w IN regexp_extract_all(title, '{rules.TOKEN}')]) AS t FROM n),
         g AS (SELECT item_idx, array_to_string(list_sort(list(DISTINCT {fold('t')})), ' ') AS tokens FROM e WHERE {TOPICAL} GROUP BY item_idx)
         SELECT n.item_idx, coalesce(tokens, '') AS tokens FROM n LEFT JOIN g USING (item_idx)""",
-    "tokens_strip_suffix": f"WITH w AS (SELECT doc_id AS item_idx, ({_list(_WORDS)})[1 + doc_id % {len(_WORDS)}] AS word FROM documents) SELECT item_idx, word, regexp_replace(word, {STEM}) AS stem FROM w",
-    "date_parse": f"WITH w AS (SELECT doc_id AS item_idx, ({_list(DATES)})[1 + doc_id % {len(DATES)}] AS raw FROM documents) SELECT item_idx, raw, {_date()} AS day FROM w",
+    "tokens_strip_suffix": f"""WITH {NOTICES_SQL}, e AS (SELECT item_idx, regexp_extract_all(title, '{rules.TOKEN}') AS ws FROM n), x AS (SELECT item_idx, unnest(range(len(ws))) AS pos, ws FROM e),
+        w AS (SELECT item_idx, CAST(pos AS INTEGER) AS pos, ws[pos + 1] || CASE WHEN pos % 3 = 0 THEN '' ELSE ({_list(rules.SUFFIXES)})[1 + (item_idx + pos) % {len(rules.SUFFIXES)}] END AS word FROM x)
+        SELECT item_idx, pos, word, regexp_replace(word, {STEM}) AS stem FROM w""",
+    "date_parse": f"WITH w AS (SELECT doc_id AS item_idx, {_mixed('doc_id', DATES, DATE_HEADS, DATE_TAILS)} AS raw FROM documents) SELECT item_idx, raw, {_date()} AS day FROM w",
+    "label_tidy": f"""WITH w AS (SELECT doc_id AS item_idx, {_mixed('doc_id', LABEL_CORES, LABEL_HEADS, LABEL_TAILS)} AS raw FROM documents), {_tidy('w', 'item_idx, raw')}
+        SELECT item_idx, raw, label, {_slot('label')} AS slot FROM t4""",
     "category_classify": f"""WITH {NOTICES_SQL} SELECT item_idx, {classify('category')} AS found, {canonical('category')} AS name,
         CASE WHEN {canonical('category')} IN ({', '.join(map(_s, rules.SPECIFIC))}) THEN category ELSE coalesce(nullif({_first("(category || ' ' || title)", rules.TITLE_HINTS)}, ''), category) END AS notice_category FROM n""",
     "rights_gate": f"""WITH {NOTICES_SQL}, t AS (SELECT item_idx, CASE WHEN lower(trim(rights)) IN ({', '.join(map(_s, rules.TIERS))}) THEN lower(trim(rights)) ELSE 'unknown' END AS tier FROM n)
@@ -153,7 +264,7 @@ SQL = {
     "state_only_new": f"WITH {CURRENT}, {SEEN} SELECT item_idx, url FROM c WHERE {KEY} NOT IN (SELECT key FROM seen)",
     "state_merge": f"""WITH {CURRENT}, {SEEN}, now AS (SELECT DISTINCT {KEY} AS key FROM c WHERE agency = 'src3'),
         u AS (SELECT 0 AS part, 0 AS place, key FROM now UNION ALL SELECT 1, pos, key FROM seen WHERE key NOT IN (SELECT key FROM now))
-        SELECT CAST(row_number() OVER (ORDER BY part, place, key) - 1 AS INTEGER) AS pos, key FROM u QUALIFY pos < 200""",
+        SELECT CAST(row_number() OVER (ORDER BY part, place, key) - 1 AS INTEGER) AS pos, key FROM u QUALIFY pos < 20000""",
     "group_by_agency": f"WITH {CURRENT} SELECT agency, count(*) AS n, max(published) AS latest, count(published) AS dated FROM c GROUP BY agency",
     "group_by_topic": f"""WITH {CURRENT}, g AS (SELECT topic, count(*) AS n FROM (SELECT unnest(CASE WHEN len(topics) = 0 THEN ['{rules.OTHER}'] ELSE topics END) AS topic FROM c) GROUP BY 1)
         SELECT CAST(row_number() OVER (ORDER BY CASE WHEN topic = '{rules.OTHER}' THEN 1 ELSE 0 END, n DESC, topic) AS INTEGER) AS pos, topic, n FROM g""",
@@ -195,11 +306,11 @@ SQL = {
         b AS (SELECT * FROM g WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY board ORDER BY n DESC, CASE name {' '.join(f"WHEN '{n}' THEN {i}" for i, (n, _) in enumerate(rules.TITLE_HINTS))} END) = 1)
         SELECT h.board, CASE WHEN b.n >= 2 AND b.n * 100 >= 60 * total THEN b.name ELSE '' END AS category, CAST(total AS BIGINT) AS total FROM h LEFT JOIN b USING (board)""",
     "bake_upsert": """WITH c AS (SELECT c_custkey AS id, c_custkey % 9 AS count, DATE '2024-01-01' AS checked FROM customer WHERE c_custkey % 2 = 0),
-        f AS (SELECT c_custkey AS id, c_custkey % 11 AS count, DATE '2024-02-01' AS checked, CASE WHEN c_custkey % 5 = 0 THEN 'timeout' WHEN c_custkey % 7 = 0 THEN 'none' ELSE 'ok' END AS status FROM customer WHERE c_custkey % 3 = 0),
+        f AS (SELECT c_custkey AS id, c_custkey % 11 AS count, DATE '2024-02-01' AS checked, CASE WHEN c_custkey % 5 = 0 THEN 'timeout' WHEN c_custkey % 7 = 0 THEN 'none' ELSE 'ok' END AS status FROM customer WHERE c_custkey % 2 <> 0 OR c_custkey % 3 = 0),
         j AS (SELECT id, CASE WHEN status IS NULL OR status = 'timeout' THEN c.count ELSE f.count END AS count, CASE WHEN status IS NULL OR status = 'timeout' THEN c.checked ELSE f.checked END AS checked, status FROM c FULL JOIN f USING (id))
         SELECT id, count, checked FROM j WHERE coalesce(status, '') <> 'none' AND count IS NOT NULL""",
     "access_verdicts": """WITH k AS (SELECT l_orderkey % 500 AS org, CASE WHEN l_orderkey % 500 % 9 = 0 THEN 'korea' ELSE 'rss' END AS label, (l_suppkey + l_orderkey % 500) % 3 <> 0 AS allowed FROM lineitem WHERE l_linenumber > 1),
-        p AS (SELECT org, count(*) AS paths, count_if(allowed) AS allowed, count_if(label = 'rss') AS own FROM k WHERE org % 3 <> 0 OR allowed GROUP BY org),
+        p AS (SELECT org, count(*) AS paths, count_if(allowed) AS allowed, count_if(label = 'rss') AS own FROM k GROUP BY org),
         r AS (SELECT l_orderkey % 500 AS org, bool_or(l_linestatus = 'O') AS root FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
         j AS (SELECT org, coalesce(paths, 0) AS paths, coalesce(allowed, 0) AS allowed, coalesce(own, 0) AS own, coalesce(root, false) AS root FROM p FULL JOIN r USING (org))
         SELECT org, CAST(paths AS BIGINT) AS paths, CAST(allowed AS BIGINT) AS allowed, CASE WHEN paths > 0 AND own = 0 THEN 'korea_only' WHEN paths > 0 AND allowed = paths THEN 'full' WHEN allowed > 0 THEN 'partial' WHEN root THEN 'paths' ELSE 'blocked' END AS verdict FROM j""",
@@ -218,7 +329,94 @@ SQL = {
         SELECT page_id, CASE {' '.join("WHEN " + " OR ".join(f"contains(lower(path), {_s(a)})" for w in words for a in ((w,) if w.isascii() else aliases(w))) + f" THEN {_s(n)}" for n, words in rules.CATEGORY_HINTS)} ELSE '{rules.OTHER}' END AS category FROM u""",
     "audit_report": f"""WITH {ATTEMPTS}, t AS (SELECT src_idx, category, max(CAST(ok AS INTEGER)) AS ok, sum(CASE WHEN ok THEN n_rows ELSE 0 END) AS n FROM w WHERE winner IS NULL OR stage_ord <= winner GROUP BY 1, 2)
         SELECT category, count(*) AS boards, count_if(ok = 1) AS connected, CAST(sum(n) AS BIGINT) AS rows FROM t GROUP BY category""",
-    "mined_urls": """SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '["''](https?://[^"''\\s<>]+)["'']', 1))) AS INTEGER) AS n FROM pages""",
+    "mined_urls": f"""WITH p AS (SELECT page_id, {HOST} AS home, regexp_extract(url, '^[a-z]+://[^/?#]*') AS base,
+            replace(html || '<script>var a="/bbs/list.do?menuNo=' || page_id || '", b="https:\\/\\/x.example.com\\/board\\/list", c="' || regexp_replace(url, '[?#].*$', '') || '/notice/bbs/", d="/a.css"</script>', '\\/', '/') AS src FROM pages),
+        r AS (SELECT page_id, home, base, unnest(list_distinct(regexp_extract_all(src, '["''](/[^"''\\s<>]{{2,160}}|https?://[^"''\\s<>]{{4,200}})["'']', 1))) AS raw FROM p),
+        u AS (SELECT DISTINCT page_id, home, regexp_replace(CASE WHEN raw LIKE '/%' THEN base || raw ELSE raw END, '#.*$', '') AS url FROM r WHERE raw NOT LIKE '//%'),
+        h AS (SELECT page_id, url, regexp_replace(home, '^www\\.', '') AS own, regexp_replace({HOST}, '^www\\.', '') AS host, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS path, '' AS label FROM u),
+        q AS (SELECT page_id, url, CAST({BOARD} AS INTEGER) AS score FROM h WHERE (host = own OR ends_with(host, '.' || own)) AND NOT ({' OR '.join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in rules.EXTERNAL_HOSTS)})
+            AND path NOT IN ('', '/') AND NOT ({' OR '.join(f"ends_with(path, '{x}')" for x in rules.ASSET_TAILS)}))
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS INTEGER) AS place, url, score FROM q WHERE score > 0 QUALIFY place <= 30""",
+    "cluster_groups": f"WITH RECURSIVE {CLUSTERS} SELECT a.src_idx, a.item_idx, b.src_idx AS leader_src, b.item_idx AS leader_item FROM cl a JOIN r0 b ON b.rk = a.lead",
+    "insight_issues": f"WITH RECURSIVE {ISSUES} SELECT pos, title, n, agencies FROM iss",
+    "insight_timeline": f"""WITH RECURSIVE {ISSUES} SELECT place AS pos, day, title, agency FROM (SELECT CAST(row_number() OVER (ORDER BY cl.published ASC NULLS LAST, cl.title, cl.src_idx, cl.item_idx) AS INTEGER) AS place, coalesce(strftime(cl.published, '%Y-%m-%d'), '미상') AS day, cl.title AS title, cl.agency AS agency
+        FROM cl JOIN iss ON iss.lead = cl.lead AND iss.pos = 1 QUALIFY place <= 6)""",
+    "brief_issues": f"""WITH RECURSIVE {BRIEF}, sz2 AS (SELECT section, lead, count(*) AS n FROM cl GROUP BY 1, 2),
+        hd AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY section, lead ORDER BY score DESC, CASE WHEN summary = '' THEN 1 ELSE 0 END, {NEWEST}) = 1)
+        SELECT list_position(['first', 'second', 'third', '{rules.OTHER}'], section) AS section_ord, CAST(row_number() OVER (PARTITION BY section ORDER BY score DESC, n DESC, {NEWEST}) AS INTEGER) AS pos, section, title, score, n FROM hd JOIN sz2 USING (section, lead)""",
+    "brief_totals": f"""WITH RECURSIVE {BRIEF}, {SEEN} SELECT (SELECT count(*) FROM c) AS considered, count(*) AS matches, count(DISTINCT section || '/' || lead) AS issues, count(DISTINCT agency) AS agencies,
+        CAST(count_if({KEY} NOT IN (SELECT key FROM seen)) AS BIGINT) AS new FROM cl""",
+    "report_agencies": f"WITH {CURRENT}, {SEEN} SELECT agency, count(*) AS n, CAST(count_if({KEY} NOT IN (SELECT key FROM seen)) AS BIGINT) AS new FROM c GROUP BY agency",
+    "agency_rows": f"WITH {CURRENT} SELECT agency, CAST(row_number() OVER (PARTITION BY agency ORDER BY published DESC NULLS LAST, src_idx, item_idx) AS INTEGER) AS pos, item_idx, published, title FROM c",
+    "verify_groups": f"""WITH {CURRENT}, g AS (SELECT org, {NAME} AS name, count(*) AS n FROM c GROUP BY 1, 2) SELECT org, CAST(sum(n) AS BIGINT) AS count, string_agg(name || '=' || n, ',' ORDER BY name) AS groups FROM g GROUP BY org""",
+    "web_dedup": f"""WITH RECURSIVE {NOTICES_SQL}, {{keys}} SELECT org, item_idx FROM kept""",
+    "web_contributing": f"""WITH RECURSIVE {NOTICES_SQL}, {{keys}} SELECT DISTINCT src_idx, item_idx // 40 AS route FROM kept""",
+    "url_keys": """WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'k2:k.kr/bbs/site' || page_id % 5 || '/7/' ELSE lower(split_part(url, '#', 1)) END AS key FROM pages)
+        SELECT page_id, key, left(trim(regexp_replace(lower(url), '[^a-z0-9가-힣]+', '-', 'g'), '-'), 40) AS slug FROM p""",
+    "origin_tag": """WITH p AS (SELECT page_id, split_part(url, '#', 1) AS u FROM pages), q AS (SELECT page_id, u, regexp_extract(u, '^[a-z]+://([^/?]*)', 1) AS host, regexp_extract(u, '^[a-z]+://[^/?]*([^?]*)', 1) AS path FROM p)
+        SELECT page_id, host || ' · ' || (['RSS 피드', '게시판', '게시판 목록', 'other'])[1 + page_id % 4] || ' · ' || CASE WHEN path = '' THEN '/' WHEN length(path) > 46 THEN left(path, 23) || '…' || right(path, 23) ELSE path END || '?bbsId=7&mid=a' || page_id AS origin FROM q""",
+    "access_counts": """WITH v AS ({access}), g AS (SELECT verdict, count(*) AS n FROM v GROUP BY verdict)
+        SELECT verdict, CASE verdict WHEN 'full' THEN '✓ 전 경로 허용' WHEN 'partial' THEN '◐ 일부 허용 — 열린 경로로 수집' WHEN 'paths' THEN '◐ 후보 경로만 차단 — 대체 경로 탐색 여지' WHEN 'blocked' THEN '✗ 전면 차단 — korea.kr·data.go.kr 만' ELSE '— 자체 경로 미설정 — 보도자료만' END AS label,
+               n, CAST(row_number() OVER (ORDER BY verdict <> 'blocked', verdict) AS INTEGER) AS pos FROM g""",
+    "route_cascade": f"WITH {{routed}} SELECT src_idx, category, route, stage, n_rows, trail, ok FROM rr",
+    "failure_groups": f"WITH {{routed}} SELECT src_idx, category, string_agg(trail, ' / ' ORDER BY route) AS trails FROM rr GROUP BY src_idx, category HAVING NOT bool_or(ok)",
+    "failure_reasons": f"WITH {ATTEMPTS} SELECT CASE WHEN NOT robots_ok THEN 'robots' WHEN NOT fetched THEN 'fetch failed' ELSE 'no rows' END AS reason, count(*) AS n FROM w WHERE (winner IS NULL OR stage_ord <= winner) AND NOT ok GROUP BY 1",
+    "source_registry": "WITH {sources} SELECT src_idx, id, name, kind, rights, enabled, topics, board_id, row, routes FROM s",
+    "source_enabled": "WITH {sources} SELECT src_idx, name FROM s WHERE enabled",
+    "catalog_checked": """WITH {sources} SELECT id, CASE WHEN org <> '' THEN org ELSE name END AS name, CASE WHEN src_idx % 2 = 0 THEN '정부' ELSE '학교' END AS section, home,
+        id IN (SELECT id FROM s WHERE src_idx % 4 <> 1 AND routes > 0) AS checked FROM s WHERE kind = 'govorg' AND home <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_idx) = 1""",
+    "org_index": """WITH {sources} SELECT CASE WHEN org <> '' THEN org ELSE name END AS org, count(DISTINCT CASE WHEN id LIKE 'src-%' THEN kind || ':' || CASE WHEN url <> '' THEN url ELSE home END ELSE id END) AS n, min(src_idx) AS first FROM s GROUP BY 1""",
+    "stage_plan": """WITH {sources},
+        r AS (SELECT src_idx, hm, unnest([{'c': '공지', 'k': 'board', 'u': hm || 'kor/b', 'o': 1}, {'c': '보도자료', 'k': 'rss', 'u': hm || 'press.xml', 'o': 2}, {'c': '공지', 'k': 'rss', 'u': hm || ' n.xml', 'o': 3}, {'c': '채용', 'k': 'datago', 'u': hm, 'o': 4}]) AS r FROM s WHERE kind = 'govorg' AND routes > 0),
+        f AS (SELECT src_idx, r.c AS category, r.k AS kind, r.u AS url, r.o AS o FROM r),
+        x AS (SELECT src_idx, category, CASE kind WHEN 'rss' THEN 0 WHEN 'board' THEN 1 ELSE 3 END AS a, o * 10 AS b, kind AS stage, url FROM f
+              UNION ALL SELECT src_idx, category, 2, o * 10, 'alt', replace(url, '://www.', '://m.') FROM f
+              UNION ALL SELECT src_idx, category, 2, o * 10 + 1, 'alt', replace(url, '://www.', '://') FROM f
+              UNION ALL SELECT src_idx, category, 2, o * 10 + 2, 'alt', replace(url, '/kor/', '/eng/') FROM f WHERE contains(url, '/kor/')
+              UNION ALL SELECT src_idx, '보도자료', 9, 0, 'korea', 'https://www.korea.kr/rss/' || feed || '.xml' FROM s WHERE kind = 'govorg' AND feed <> ''
+              UNION ALL SELECT src_idx, '정책', 0, 0, kind, url FROM s WHERE kind NOT IN ('govorg', 'k2web')
+              UNION ALL SELECT src_idx, '정책', 0, i, ['rss', 'list', 'page'][i], ['https://h' || k || '.kr/bbs/s/' || board_id || '/rssList.do?row=50', 'https://h' || k || '.kr/bbs/s/' || board_id || '/artclList.do', 'https://h' || k || '.kr/s/5/subview.do'][i]
+                  FROM s, unnest([1, 2, 3]) AS t(i) WHERE kind = 'k2web' AND board_id IS NOT NULL AND (i < 3 OR k % 8 = 2))
+        SELECT src_idx, CAST(CASE WHEN category = '채용' THEN 2 WHEN category = '보도자료' AND src_idx IN (SELECT src_idx FROM f) THEN 1 ELSE 0 END AS INTEGER) AS cat_ord, category, CAST(row_number() OVER (PARTITION BY src_idx, category ORDER BY a, b) - 1 AS INTEGER) AS stage_ord, stage, url FROM x""",
+    "media_hosts": f"SELECT DISTINCT regexp_replace({HOST}, '^www\\.', '') AS host FROM pages WHERE contains({HOST}, '.')",
+    "media_allowed": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN {HOST} = 'example.org' OR {HOST} LIKE '%.example.org' WHEN 1 THEN true ELSE false END AS allowed FROM pages",
+    "robots_allowed": f"SELECT DISTINCT url, {HOST} LIKE '%.org' OR NOT starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/') AS allowed, CASE WHEN {HOST} LIKE '%.org' THEN 0 ELSE 4 END AS delay FROM pages",
+    "board_rows": f"""WITH {NOTICES_SQL}, q AS (SELECT *, item_idx // 50 AS page_id, 'Post ' || regexp_extract(title, '^[A-Za-z]*') || ' & 안내 ' || item_idx || '호' AS name FROM n),
+        g AS (SELECT page_id, count(published) AS dated FROM q GROUP BY page_id)
+        SELECT page_id, {_flat('name')} AS title, 'https://b.kr/view.do?id=' || item_idx AS url, agency AS unit, published FROM q JOIN g USING (page_id) WHERE page_id % 2 = 0 OR published IS NOT NULL""",
+    "feed_sniff": "SELECT page_id, page_id % 3 <> 1 AND page_id % 2 = 0 AS feed FROM pages",
+    "slot_scores": f"""WITH p AS (SELECT page_id, url, ({_list(SLOT_LABELS)})[1 + page_id % {len(SLOT_LABELS)}] AS label FROM pages), q AS (SELECT *, {_slot('label')} AS slot FROM p)
+        SELECT page_id, label, slot, CAST({BOARD} + CASE WHEN regexp_matches(label, '공지|게시판|알림|소식|공고|뉴스|news|notice|board') THEN 6 ELSE 0 END - CASE WHEN regexp_matches(label, '자료|서식|양식|규정') THEN 3 ELSE 0 END
+            - CASE WHEN regexp_matches(label, '(학과|학부|전공)$|학과 ') THEN 6 WHEN contains(label, '대학원') THEN 3 ELSE 0 END
+            + CASE WHEN slot = '공지' THEN CASE WHEN label IN ('공지사항', '공지') THEN 4 ELSE 0 END - CASE WHEN regexp_matches(label, '학과|학부|전공|대학원|연구소|센터') THEN 6 ELSE 0 END ELSE 0 END AS INTEGER) AS score FROM q""",
+    "links_enriched": f"""WITH {CURRENT}, e AS (SELECT src_idx, item_idx FROM c WHERE {DERIVATIVE} ORDER BY published DESC NULLS LAST, agency DESC, src_idx, item_idx LIMIT 20)
+        SELECT item_idx, CAST(CASE WHEN item_idx IN (SELECT item_idx FROM e) THEN 1 ELSE 0 END AS INTEGER) AS links FROM c""",
+    "web_fresh": f"""WITH {CURRENT}, v AS (SELECT org, url FROM c WHERE item_idx % 3 = 0 AND org <> 'org2') SELECT item_idx, org IN (SELECT org FROM v) AND url NOT IN (SELECT url FROM v) AS is_fresh FROM c""",
+    "web_filtered": f"WITH {NOTICES_SQL} SELECT item_idx, title FROM n WHERE (published IS NULL OR published >= DATE '{NOW}' - 90) AND {canonical('category')} = '채용' AND contains(lower(title), 'th')",
     "rss_rows": f"WITH {NOTICES_SQL} SELECT CAST(item_idx AS INTEGER) AS src_idx, trim(title) AS title, url, published FROM n WHERE title <> ''",
-    "datago_rows": f"""WITH {NOTICES_SQL} SELECT item_idx AS src_idx, k AS item_idx, trim(title) AS title, url, published FROM n, unnest(CASE WHEN item_idx % 2 = 0 THEN [0] ELSE [0, 1] END) AS t(k) WHERE item_idx % 4 <> 0 AND title <> ''""",
+    "datago_rows": f"""WITH {NOTICES_SQL} SELECT item_idx AS src_idx, k AS item_idx, trim(title) AS title, url, published FROM n, unnest(CASE WHEN item_idx % 2 = 0 THEN [0] ELSE [0, 1] END) AS t(k) WHERE title <> ''""",
 }
+
+_TITLE = f"regexp_replace(regexp_replace({_flat('title')}, '^(\\s*(\\[[^\\]]{{1,20}}\\]|\\([^)]{{1,20}}\\)|【[^】]{{1,20}}】))+\\s*', ''), '\\s+(새글|새 글|new|n)$', '', 'i')"
+#: The scan that keeps a row unless a key of an earlier kept row of its organisation is its own.
+_KEPT = f"""ks AS (SELECT *, list_filter([org || '|' || {KEY}, CASE WHEN published IS NOT NULL AND {_TITLE} <> '' THEN org || '|t' || {fold(_TITLE)} || published END], lambda x: x IS NOT NULL) AS keys,
+        row_number() OVER (ORDER BY org, published DESC NULLS LAST, {canonical('category')} NOT IN ({', '.join(map(_s, rules.SPECIFIC))}), src_idx, item_idx) AS rk FROM n),
+    sc AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[]) AS had, false AS took UNION ALL
+        SELECT sc.step + 1, CASE WHEN list_has_any(ks.keys, sc.had) THEN sc.had ELSE list_concat(sc.had, ks.keys) END, NOT list_has_any(ks.keys, sc.had) FROM sc JOIN ks ON ks.rk = sc.step + 1),
+    kept AS (SELECT ks.* FROM ks JOIN sc ON sc.step = ks.rk AND sc.took)"""
+_ROUTED = f"""a0 AS (SELECT CAST(event_id // 15 AS INTEGER) AS src_idx, (['보도자료', '공지', '채용'])[1 + (event_id // 5) % 3] AS category, CAST(event_id % 5 AS INTEGER) AS stage_ord,
+        ({_list(rules.STAGES)})[1 + event_id % 5] AS stage, user_id % 4 <> 0 AS robots_ok, user_id % 3 <> 0 AS fetched, CAST(user_id % 5 AS INTEGER) AS n_rows FROM events),
+    a1 AS (SELECT *, CAST(CASE WHEN category = '보도자료' AND stage = 'korea' THEN -1 ELSE stage_ord // 2 END AS INTEGER) AS route, robots_ok AND fetched AND n_rows > 0 AS ok FROM a0),
+    a2 AS (SELECT * FROM a1 WHERE route >= 0 OR src_idx NOT IN (SELECT src_idx FROM a1 WHERE category = '보도자료' AND route >= 0 AND ok)),
+    a3 AS (SELECT *, min(CASE WHEN ok THEN stage_ord END) OVER (PARTITION BY src_idx, category, route) AS winner FROM a2),
+    rr AS (SELECT src_idx, category, route, coalesce(max(CASE WHEN ok THEN stage END), '') AS stage, coalesce(max(CASE WHEN ok THEN n_rows END), 0) AS n_rows, bool_or(ok) AS ok,
+        string_agg(stage || ': ' || CASE WHEN ok THEN n_rows || '건' WHEN NOT robots_ok THEN 'robots' WHEN NOT fetched THEN 'fetch failed' ELSE 'no rows' END, ' → ' ORDER BY stage_ord) AS trail
+        FROM a3 WHERE winner IS NULL OR stage_ord <= winner GROUP BY src_idx, category, route)"""
+_SOURCES = """s0 AS (SELECT s_suppkey AS k, *, 'https://www.s' || s_suppkey || '.kr/' AS hm, (['rss', 'datago', 'k2web', 'govweb', 'govorg', 'ftp'])[1 + s_suppkey % 6] AS kind FROM supplier),
+    s1 AS (SELECT k, hm, CAST(k - 1 AS INTEGER) AS src_idx, CASE WHEN k % 7 <> 0 THEN 'id' || k % 40 ELSE 'src-' || (k - 1) END AS id, trim(CASE WHEN k % 11 <> 0 THEN s_name ELSE '' END) AS name, kind,
+        CASE WHEN k % 5 <> 0 THEN hm || 'list.do' ELSE '' END AS url, 'kogl_type1' AS rights, CASE WHEN k % 3 <> 0 THEN k % 4 <> 0 ELSE true END AS enabled, '복지' AS topics,
+        CASE WHEN k % 2 = 0 THEN '기관' || k % 9 ELSE '' END AS org, CASE WHEN k % 9 <> 0 THEN CAST(k AS INTEGER) END AS board_id, 50 AS row, CAST(CASE WHEN k % 12 = 4 THEN 4 ELSE 0 END AS INTEGER) AS routes,
+        CASE WHEN k % 24 = 10 THEN 'dept' ELSE '' END AS feed, CASE WHEN k % 8 = 4 OR k % 12 = 10 THEN hm ELSE '' END AS home, k % 4 <> 0 AS sited FROM s0),
+    s AS (SELECT * FROM s1 WHERE name <> '' AND CASE kind WHEN 'ftp' THEN false WHEN 'govorg' THEN routes > 0 OR feed <> '' OR home <> '' WHEN 'k2web' THEN sited AND board_id IS NOT NULL ELSE url <> '' END)"""
+for _name, _text in list(SQL.items()):
+    SQL[_name] = _text.replace("{keys}", _KEPT).replace("{routed}", _ROUTED).replace("{sources}", _SOURCES).replace("{access}", SQL["access_verdicts"])

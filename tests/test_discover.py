@@ -6,9 +6,9 @@ from noticeflow.sources import pages, robots
 
 
 def test_romanize():
-    assert (romanize("공지사항"), romanize("알림"), romanize("채용")) == ("gongjisahang", "alrim", "chaeyong")
-    assert (romanize("학사"), romanize("학사", True), romanize("입시", True)) == ("hagsa", "haksa", "ipsi")
-    assert "gongji" in aliases("공지사항") and aliases("고") == ()
+    assert (romanize("도서관"), romanize("날씨"), romanize("값 A1!")) == ("doseogwan", "nalssi", "gabsa1")
+    assert (romanize("국립"), romanize("국립", True), romanize("밭", True)) == ("gugrib", "gukrip", "bat")
+    assert aliases("도서관") == ("doseo", "doseogwan") and aliases("오") == () and aliases("국") == ("gug", "guk")
 
 
 def test_robots(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.functions import text as T
-from noticeflow.operators import collect, digest, greedy, relevance, routes
+from noticeflow.operators import boards, collect, digest, greedy, relevance, routes
 from noticeflow.plans import render
 from noticeflow.sources import feeds, pages
 
@@ -136,7 +136,7 @@ def test_pages(spark):
     html = "<table><tr><th>no</th></tr><tr><td>1</td><td><a href='/v?id=1'>A long title</a></td><td>2024.03.05</td></tr></table><script>var x='<a href=\"/no\">no</a>'</script><a href='javascript:x()'>j</a>"
     df = spark.createDataFrame([(1, "http://h/list", html), (2, None, None)], "page_id long, url string, html string")
     assert [(r.url, r.text) for r in pages.anchors(df).collect()] == [("http://h/v?id=1", "A long title")]
-    assert [(r.title, r.url, r.date) for r in pages.boards(df).collect()] == [("A long title", "http://h/v?id=1", "2024.03.05")]
+    assert [(r.title, r.url, r.published) for r in boards.rows(df).collect()] == [("A long title", "http://h/v?id=1", date(2024, 3, 5))]
 
 
 def test_rendering(spark):
