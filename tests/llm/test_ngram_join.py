@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -82,7 +83,8 @@ def test_subset_keys_and_boundary():
     assert ngram_join.boundary(conf, {5: 1000, 6: 1000}, 50.0) >= 6
 
 
-def test_unfinished_components_are_an_error(spark):
+def test_unfinished_components_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(sys.modules[components.__module__], "SHARE", 10)
     chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long").repartition(8)
     with pytest.raises(RuntimeError):
         components(chain, rounds=1)
@@ -129,6 +131,7 @@ def test_hubs(spark, monkeypatch):
 
     monkeypatch.setattr(c, "FEW", 5)
     monkeypatch.setattr(c, "HUBS", 50)
+    monkeypatch.setattr(c, "SHARE", 100)
     rng = random.Random(3)
     pairs = [(0, i) for i in range(1, 200)] + [(rng.randrange(300, 600), rng.randrange(300, 600)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
