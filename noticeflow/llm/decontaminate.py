@@ -10,7 +10,9 @@ Items are taken in blocks of bounded size, each against all documents; the seeds
 block are all that is sent to the executors, and texts are never moved.
 
 Null and empty texts match nothing; items without words are passed over.  Items shorter
-than the seed length are one seed.  An empty side gives an empty result.
+than the seed length are one seed.  Rows are judged one for one: a repeated document gives
+its rows again, and so does a repeated item.  Of passages that score alike the first counts.
+Other columns are not looked at.  An empty side gives an empty result.
 """
 
 from __future__ import annotations
