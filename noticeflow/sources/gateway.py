@@ -43,8 +43,9 @@ def join(base: Column, ref: Column) -> Column:
     rest = F.substr(whole, F.length(head) + F.length(path) + 1)
     parts = F.filter(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda p: p != ".")
     stack = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p)))
-    tail = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise("")
-    resolved = F.concat(head, F.lit("/"), F.array_join(stack, "/"), tail, rest)
+    folded = F.array_join(stack, "/")
+    tail = F.when(path.rlike(r"/\.\.?$") & (folded != ""), "/").otherwise("")
+    resolved = F.concat(head, F.lit("/"), folded, tail, rest)
     return F.when(whole.rlike(r"^[A-Za-z]+://") & path.rlike(r"(?:^|/)\.\.?(?:/|$)"), resolved).otherwise(whole)
 
 
