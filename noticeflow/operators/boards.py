@@ -60,16 +60,19 @@ def _judged(cells: Column, base: Column) -> Column:
 
 def _without_echo(title: Column, after: Column) -> Column:
     """A title without a tail that the next cells say again, if that holds a date."""
-    follow = F.slice(F.filter(F.transform(after, lambda c: T.squeeze(c["text"])), lambda t: t != ""), 1, 6)
+    said = F.filter(F.transform(after, lambda c: T.squeeze(c["text"])), lambda t: t != "")
+    follow = F.transform(F.slice(said, 1, 6), lambda t: F.struct(t.alias("t"), T.coerce_date(t).isNotNull().alias("dated")))
     ranges = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(e - s).alias("n")) for s in range(1, 7) for e in range(7, s, -1)))
 
     def tail(words: Column) -> Column:
         fits = F.filter(ranges, lambda r: r["s"] + r["n"] - 1 <= F.size(words))
-        said = F.transform(fits, lambda r: F.struct(F.array_join(F.slice(words, r["s"], r["n"]), " ").alias("t"), F.exists(F.slice(words, r["s"], r["n"]), lambda w: T.coerce_date(w).isNotNull()).alias("dated")))
-        ends = F.filter(said, lambda x: x["dated"] & title.endswith(F.concat(F.lit(" "), x["t"])) & (F.length(title) - F.length(x["t"]) > rules.LEAST_TITLE))
-        return F.coalesce(F.get(ends, F.lit(0))["t"], F.lit(""))
+        cut = lambda r: F.slice(words, r["s"], r["n"])
+        text = lambda r: F.array_join(F.transform(cut(r), lambda w: w["t"]), " ")
+        ends = F.filter(fits, lambda r: F.exists(cut(r), lambda w: w["dated"]) & title.endswith(F.concat(F.lit(" "), text(r))) & (F.length(title) - F.length(text(r)) > rules.LEAST_TITLE))
+        return F.coalesce(F.get(F.transform(ends, text), F.lit(0)), F.lit(""))
 
-    return _let(follow, lambda words: _let(tail(words), lambda t: F.when(t != "", F.rtrim(F.substring(title, F.lit(1), F.length(title) - F.length(t)))).otherwise(title)))
+    cut_off = lambda t: F.when(t != "", F.rtrim(F.substring(title, F.lit(1), F.length(title) - F.length(t)))).otherwise(title)
+    return _let(follow, lambda words: F.when(F.exists(words, lambda w: w["dated"]), _let(tail(words), cut_off)).otherwise(title))
 
 
 def _post(cells: Column, base: Column) -> Column:
@@ -93,16 +96,22 @@ def _post(cells: Column, base: Column) -> Column:
     )
     text_at = lambda i: F.get(cells, i)["text"]
     url_at = lambda i: F.get(cells, i)["url"]
-    words = F.replace(F.replace(F.url_encode(F.substring(T.squeeze(text_at(script)), 1, 80)), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
-    anchor = F.concat(F.regexp_replace(base, "#.*$", ""), F.lit("#"), words)
     nonempty = lambda c: F.nullif(c, F.lit(""))
     pick = lambda i, url, loose: F.struct(i.alias("i"), url.alias("url"), F.lit(loose).alias("loose"))
-    chosen = (
-        F.when(page.isNotNull(), pick(page, url_at(page), False))
-        .when(F.length(F.trim(text_at(script))) >= rules.LEAST_TITLE, pick(script, F.coalesce(nonempty(view), url_at(filed), anchor), False))
-        .when(filed.isNotNull(), pick(filed, url_at(filed), False))
-        .when(((view != "") | (down != "")) & plain.isNotNull(), pick(plain, F.coalesce(nonempty(view), down), True))
-    )
+
+    def anchor(i: Column) -> Column:
+        words = F.replace(F.replace(F.url_encode(F.substring(T.squeeze(text_at(i)), 1, 80)), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+        return F.concat(F.regexp_replace(base, "#.*$", ""), F.lit("#"), words)
+
+    def choice(x: Column) -> Column:
+        return (
+            F.when(x["page"].isNotNull(), pick(x["page"], url_at(x["page"]), False))
+            .when(F.length(F.trim(text_at(x["script"]))) >= rules.LEAST_TITLE, pick(x["script"], F.coalesce(nonempty(x["view"]), url_at(x["filed"]), anchor(x["script"])), False))
+            .when(x["filed"].isNotNull(), pick(x["filed"], url_at(x["filed"]), False))
+            .when(((x["view"] != "") | (x["down"] != "")) & x["plain"].isNotNull(), pick(x["plain"], F.coalesce(nonempty(x["view"]), x["down"]), True))
+        )
+
+    options = F.struct(page.alias("page"), script.alias("script"), filed.alias("filed"), view.alias("view"), down.alias("down"), plain.alias("plain"))
 
     def made(p: Column) -> Column:
         after = F.slice(cells, p["i"] + 2, F.greatest(F.size(cells) - p["i"] - 1, F.lit(0)))
@@ -111,11 +120,12 @@ def _post(cells: Column, base: Column) -> Column:
         earlier = F.filter(F.transform(F.filter(before, lambda c: c["day"]), lambda c: T.coerce_date(c["text"])), lambda d: d.isNotNull())
         day = F.coalesce(F.get(later, F.lit(0)), F.get(earlier, F.lit(0)))
         # Echoes are looked for before references are undone, as the cells say them again raw.
-        name = F.when(F.get(cells, p["i"])["plain"] == text_at(p["i"]), _without_echo(T.squeeze(text_at(p["i"])), after)).otherwise(F.get(cells, p["i"])["plain"])
-        post = _let(L.clean_title(name), lambda t: F.struct(t["title"].alias("title"), p["url"].alias("url"), t["unit"].alias("unit"), day.alias("published")))
+        plain_text = F.get(cells, p["i"])["plain"]
+        name = F.when(plain_text == text_at(p["i"]), _let(T.squeeze(text_at(p["i"])), lambda title: _without_echo(title, after))).otherwise(plain_text)
+        post = _let(_let(name, L.clean_title), lambda t: F.struct(t["title"].alias("title"), p["url"].alias("url"), t["unit"].alias("unit"), day.alias("published")))
         return _let(post, lambda x: F.when((F.length(x["title"]) >= rules.LEAST_TITLE) & ~(p["loose"] & x["published"].isNull()), x))
 
-    return F.when(chosen.isNotNull(), _let(chosen, made))
+    return _let(options, lambda x: _let(choice(x), lambda p: F.when(p.isNotNull(), made(p))))
 
 
 def _posts(rows: Column, base: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.functions import labels, rules, urls
+from noticeflow.functions import files, labels, rules, urls
 from noticeflow.functions import text as T
 from noticeflow.operators import boards, collect, digest, greedy, insight, relevance, routes
 from noticeflow.plans import oracle, views
-from noticeflow.sources import feeds, pages, registry, robots
+from noticeflow.sources import feeds, gateway, pages, registry, robots
 
 NOW, DAYS = oracle.NOW, oracle.DAYS
 QUERIES: dict = {}
@@ -621,3 +621,26 @@ def category_from_url(spark, d):
 def audit_report(spark, d):
     rows = routes.tried(_attempts(spark, d)).groupBy("src_idx", "category").agg(F.max(F.col("ok").cast("int")).alias("ok"), F.sum(F.when(F.col("ok"), F.col("n_rows")).otherwise(0)).alias("n"))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("boards"), F.count_if(F.col("ok") == 1).alias("connected"), F.sum("n").alias("rows"))
+
+
+@query
+def file_kinds(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    pick = lambda values, step: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("page_id") / step) % len(values) + 1).cast("int"))
+    rows = p.select("page_id", F.concat(F.regexp_replace("url", r"[?#].*$", ""), pick(oracle.FILE_TAILS, 1)).alias("url"), pick(oracle.FILE_LABELS, len(oracle.FILE_TAILS)).alias("text"))
+    return rows.select("page_id", files.looks_like_file(F.col("url")).alias("file"), files.kind(F.col("url"), F.col("text")).alias("kind"), files.clean_label(F.col("text")).alias("label"))
+
+
+@query
+def sitemap_rows(spark, d):
+    """Pages as the entries of sitemaps, ten each."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select(F.expr("page_id div 10").alias("page_id"), F.concat(F.lit("<url><loc> "), F.regexp_replace("url", r"[?#].*$", ""), F.lit("/board/list.do </loc></url>")).alias("x"))
+    # Ten rows to a sitemap.
+    maps = p.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("html"))
+    return gateway.sitemap(maps)
+
+
+@query
+def home_variants(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", F.array_join(gateway.host_variants(F.col("url")), " ").alias("sites"))

@@ -20,6 +20,8 @@ LABEL_TAILS = ("", " 더보기", "목록", "(목록)", " 게시판", " more", "+
 TITLE_HEADS = ("", "[국립도서관] 새글 ", "새글 ", "첨부파일 있음 열기 ", "공지 [기획팀] ", "[a] ")
 TITLE_TAILS = ("", "새글", "첨부파일이 1개 있음", "새글 첨부파일 있음", "조회수 109", "총무팀 조회 37", "등록일 2026.10.08 조회 3", "비밀글입니다", "https://a-very-long-address.example.kr/x/y/z", "N")
 SLOT_LABELS = ("공지사항", "장학공지", "입학", "채용", "컴퓨터학과 공지", "자료실", "대학원 공지", "Q&A", "2027년도 장학", "학사 일정", "장학 서식")
+FILE_TAILS = ("", "/a.hwp", "/download.do?fileNo=3", "/x.PNG", "/view.do?preview=1", "/zipDown.do?atchFileId=1", "/support/download", "/press.do?mode=down")
+FILE_LABELS = ("다운로드", "공고문.pdf (12KB) 다운로드", "", "첨부파일: 자료집 [1.2MB] 미리보기", "사진.jpg 바로보기")
 
 
 def _letters(word: str, spoken: bool) -> str:
@@ -337,6 +339,24 @@ SQL = {
         q AS (SELECT page_id, url, CAST({BOARD} AS INTEGER) AS score FROM h WHERE (host = own OR ends_with(host, '.' || own)) AND NOT ({' OR '.join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in rules.EXTERNAL_HOSTS)})
             AND path NOT IN ('', '/') AND NOT ({' OR '.join(f"ends_with(path, '{x}')" for x in rules.ASSET_TAILS)}))
         SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS INTEGER) AS place, url, score FROM q WHERE score > 0 QUALIFY place <= 30""",
+    "page_anchors": """WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS base, unnest(range(len(regexp_extract_all(html, '<a href="')))) AS i, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
+            unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text FROM pages),
+        u AS (SELECT page_id, base || href AS url, min(i) AS i, arg_min(text, i) AS text FROM a GROUP BY 1, 2)
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, url, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM u""",
+    "deep_links": """WITH p AS ({anchors}), q AS (SELECT page_id, pos, url || CASE WHEN pos % 2 = 0 THEN '.pdf' ELSE '' END AS url, left(trim(text), 60) AS raw FROM p),
+        r AS (SELECT page_id, pos, url, CASE WHEN lower(raw) IN ('', '바로가기', 'more', '더보기', '목록', '이전', '다음', '인쇄', '공유') THEN '' ELSE raw END AS label FROM q),
+        k AS (SELECT *, CASE WHEN ends_with(lower(url), '.pdf') THEN 'PDF' WHEN regexp_matches(lower(url || ' ' || label), 'download|filedown|file_down') THEN '링크' END AS kind FROM r)
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS place, CASE WHEN label <> '' THEN label ELSE left(regexp_extract(url, '[^/]*$'), 60) END AS label, url, kind FROM k WHERE kind IS NOT NULL QUALIFY place <= 5""",
+    "file_kinds": f"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || ({_list(FILE_TAILS)})[1 + page_id % {len(FILE_TAILS)}] AS url, ({_list(FILE_LABELS)})[1 + (page_id // {len(FILE_TAILS)}) % {len(FILE_LABELS)}] AS text FROM pages),
+        q AS (SELECT page_id, text, lower(regexp_extract(url, '^[a-z]+://[^/?]*([^?]*)', 1)) AS path, lower(regexp_extract(url, '\\?(.*)$', 1)) AS query FROM p), r AS (SELECT *, regexp_extract(path, '[^/]*$') AS last FROM q)
+        SELECT page_id, regexp_matches(last, '\\.(pdf|hwpx?|docx?|xlsx?|pptx?|zip|csv|jpe?g|png|gif|bmp|webp)$|download|filedown|getfile') OR regexp_matches(query, '(^|&)(mode|act|cmd|type|method)=(download|down|filedown)(&|$)') AS file,
+               CASE WHEN ends_with(path, '.hwp') THEN 'HWP' WHEN ends_with(path, '.png') OR ends_with(text, '.jpg') THEN '그림' WHEN contains(query, 'preview') OR regexp_matches(text, '미리보기|바로보기') THEN '보기'
+                    WHEN regexp_matches(path || '?' || query, 'download|filedown|file_down|fileid|atchfile|filesn|file_sn|getfile|attach') AND (query <> '' OR contains(last, '.')) THEN CASE WHEN contains(last, 'zip') THEN 'ZIP' ELSE '파일' END ELSE '' END AS kind,
+               CASE WHEN contains(text, '공고문') THEN '공고문.pdf' WHEN contains(text, '자료집') THEN '자료집' WHEN contains(text, '사진') THEN '사진.jpg' ELSE '' END AS label FROM r""",
+    "sitemap_rows": f"""WITH u AS (SELECT DISTINCT page_id // 10 AS page_id, regexp_replace(url, '[?#].*$', '') || '/board/list.do' AS url, '' AS label FROM pages), q AS (SELECT page_id, url, CAST({BOARD} AS INTEGER) AS score FROM u)
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS INTEGER) AS place, url, score FROM q""",
+    "home_variants": """WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://)', 1) AS s, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h FROM pages)
+        SELECT page_id, s || h || ' ' || s || CASE WHEN h LIKE 'www.%' THEN h[5:] ELSE 'www.' || h END AS sites FROM p""",
     "cluster_groups": f"WITH RECURSIVE {CLUSTERS} SELECT a.src_idx, a.item_idx, b.src_idx AS leader_src, b.item_idx AS leader_item FROM cl a JOIN r0 b ON b.rk = a.lead",
     "insight_issues": f"WITH RECURSIVE {ISSUES} SELECT pos, title, n, agencies FROM iss",
     "insight_timeline": f"""WITH RECURSIVE {ISSUES} SELECT place AS pos, day, title, agency FROM (SELECT CAST(row_number() OVER (ORDER BY cl.published ASC NULLS LAST, cl.title, cl.src_idx, cl.item_idx) AS INTEGER) AS place, coalesce(strftime(cl.published, '%Y-%m-%d'), '미상') AS day, cl.title AS title, cl.agency AS agency
@@ -419,4 +439,4 @@ _SOURCES = """s0 AS (SELECT s_suppkey AS k, *, 'https://www.s' || s_suppkey || '
         CASE WHEN k % 24 = 10 THEN 'dept' ELSE '' END AS feed, CASE WHEN k % 8 = 4 OR k % 12 = 10 THEN hm ELSE '' END AS home, k % 4 <> 0 AS sited FROM s0),
     s AS (SELECT * FROM s1 WHERE name <> '' AND CASE kind WHEN 'ftp' THEN false WHEN 'govorg' THEN routes > 0 OR feed <> '' OR home <> '' WHEN 'k2web' THEN sited AND board_id IS NOT NULL ELSE url <> '' END)"""
 for _name, _text in list(SQL.items()):
-    SQL[_name] = _text.replace("{keys}", _KEPT).replace("{routed}", _ROUTED).replace("{sources}", _SOURCES).replace("{access}", SQL["access_verdicts"])
+    SQL[_name] = _text.replace("{keys}", _KEPT).replace("{routed}", _ROUTED).replace("{sources}", _SOURCES).replace("{access}", SQL["access_verdicts"]).replace("{anchors}", SQL["page_anchors"])
