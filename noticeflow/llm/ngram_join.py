@@ -14,11 +14,12 @@ The result says, for each row, the size of its set and the component that it bel
    only these are listed.
 4. The boundary is the one of least cost: keys of the small sets against postings of the
    large ones times the mean length of the lists they scan, both measured on all rows.
-5. The lists of the final order are counted.  Short ones are scanned for the number ``k`` of
-   first-part shingles that two sets share; if two sets share no long list, they can link
-   only if ``k`` and what lies beyond a first part reach the least overlap, which rules out
-   most sets that merely share a passage.  Long lists, and the keys of small sets, are stars
-   around one set and rule nothing out.  Only lists that were counted as short are gathered.
+5. The lists of the final order come as sorted rows.  Short ones are scanned for the number
+   ``k`` of first-part shingles that two sets share; if two sets share no long list, they can
+   link only if ``k`` and what lies beyond a first part reach the least overlap, which rules
+   out most sets that merely share a passage.  Long lists, and the keys of small sets, are
+   stars around one set and rule nothing out.  No list is gathered: a long one goes out row
+   by row, and one that a task meets often among its own postings never goes to one task.
 6. What is left forms candidate clusters.  A cluster that fits into a block is dealt to one,
    where all inverted lists of its sets are scanned to count the overlap of every pair,
    exactly.  Of a larger cluster the candidate edges are verified first, each exactly, which
@@ -61,7 +62,8 @@ class Join:
     ``frequent``: a shingle in more first parts than this comes last in the order;
     ``max_frequent``: so many of them at most, the most frequent;
     ``largest_small``: the boundary is at most this; ``short``: longest list that is scanned
-    for pairs; ``max_broadcast``: rows of long lists that may be broadcast, else they are
+    for pairs; ``hot``: a list that a task meets so often in a million postings stays spread;
+    ``max_broadcast``: rows of long lists that may be broadcast, else they are
     joined; ``block``: weight of a block.
     """
 
@@ -71,6 +73,7 @@ class Join:
     max_frequent: int = 100_000
     largest_small: int = 12
     short: int = 128
+    hot: int = 8
     max_broadcast: int = 1_000_000
     block: int = 1_000_000
 
@@ -248,8 +251,36 @@ def _links(conf: Join):
     return run
 
 
+def _hot(conf: Join):
+    """(t, n) of shingles that one task meets ``hot`` times or more among its next postings."""
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        value, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+        often = n >= conf.hot
+        return pa.record_batch([pa.array(value[often]), pa.array(n[often].astype(np.int64))], names=["t", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            total += len(held[-1])
+            if total > 1_000_000:
+                yield flush(held)
+                held, total = [], 0
+        yield flush(held)
+
+    return run
+
+
+_PAIRS = "a long, b long, na long, nb long, k long"
+
+
 def _scan(conf: Join):
-    """(a, b, na, nb, k) of sets on short lists."""
+    """(a, b, na, nb, k) of sets on short lists; (doc, first doc, 0, 0, -1) of long ones.
+
+    Rows (t, doc_id, n) come sorted, so a list is rows in a run: it is held while it is short,
+    and from then on each of its rows goes out as it comes.
+    """
     names = ["a", "b", "na", "nb", "k"]
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -260,26 +291,56 @@ def _scan(conf: Join):
         k = np.diff(np.concatenate((new, [len(order)])))
         return pa.record_batch([*(pa.array(c) for c in pairs[:, new]), pa.array(k.astype(np.int64))], names=names)
 
+    def star(docs: np.ndarray, hub: int) -> pa.RecordBatch:
+        zero = np.zeros(len(docs), np.int64)
+        return pa.record_batch([pa.array(x) for x in (docs, np.full(len(docs), hub), zero, zero, zero - 1)], names=names)
+
+    def pairs(docs: np.ndarray, n: np.ndarray, begin: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        """Pairs of all lists of one size at once, some lists at a time."""
+        i, j = np.triu_indices(size, 1)
+        step = max(1, 500_000 // len(i))
+        for lo in range(0, len(begin), step):
+            at = begin[lo : lo + step, None]
+            x, y = (at + i).ravel(), (at + j).ravel()
+            near = (100 * np.minimum(n[x], n[y]) >= conf.percent * np.maximum(n[x], n[y])) & (docs[x] != docs[y])
+            if near.any():
+                yield np.stack((docs[x[near]], docs[y[near]], n[x[near]], n[y[near]]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
+        rest = np.zeros((3, 0), np.int64)
+        long_, hub = None, 0
+
+        def lists(rows: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+            for m in np.unique(size[(size > 1) & (size <= conf.short)]).tolist():
+                yield from pairs(rows[1], rows[2], begin[size == m], m)
+
         for batch in batches:
-            column = batch.column(0)
-            at = column.offsets.to_numpy()
-            docs, n = (column.values.field(i).to_numpy() for i in range(2))
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if hi - lo > conf.short:
-                    raise ValueError(f"a list of {hi - lo} was gathered")
-                order = lo + np.argsort(docs[lo:hi], kind="stable")
-                i, j = np.triu_indices(hi - lo, 1)
-                i, j = order[i], order[j]
-                near = (100 * np.minimum(n[i], n[j]) >= conf.percent * np.maximum(n[i], n[j])) & (docs[i] != docs[j])
-                i, j = i[near], j[near]
-                if len(i):
-                    held.append(np.stack((docs[i], docs[j], n[i], n[j])))
-                    total += len(i)
-            if total > 1_000_000:
-                yield flush(held)
-                held, total = [], 0
+            rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            if long_ is not None:
+                more = int(np.searchsorted(rows[0], long_, "right"))
+                yield star(rows[1, :more], hub)
+                rows = rows[:, more:]
+                if not rows.shape[1]:
+                    continue
+                long_ = None
+            rows = np.concatenate((rest, rows), axis=1)
+            begin = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))) if rows.shape[1] else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate((begin, [rows.shape[1]])))
+            for at, m in zip(begin[size > conf.short].tolist(), size[size > conf.short].tolist(), strict=True):
+                yield star(rows[1, at : at + m], int(rows[1, at]))
+            # The last list may go on in the next batch.
+            if len(begin) and size[-1] > conf.short:
+                long_, hub, rest = int(rows[0, -1]), int(rows[1, begin[-1]]), rows[:, :0]
+            elif len(begin):
+                rest = rows[:, begin[-1] :]
+            for found in lists(rows, begin[:-1], size[:-1]):
+                held.append(found)
+                total += found.shape[1]
+                if total > 1_000_000:
+                    yield flush(held)
+                    held, total = [], 0
+        held += lists(rest, np.zeros(1, np.int64), np.array([rest.shape[1]]))
         yield flush(held)
 
     return run
@@ -287,31 +348,34 @@ def _scan(conf: Join):
 
 def _candidates(marks: DataFrame, conf: Join) -> DataFrame:
     """Pairs (u, v) that may link, and stars around one set for long lists and subset keys."""
-    spark = marks.sparkSession
     postings = marks.select("doc_id", "n", F.explode("first").alias("t"))
-    long = written(postings.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("hub")).where(F.col("m") > conf.short), "long-lists")
-    if long.count() <= conf.max_broadcast:
-        known = postings.join(F.broadcast(long.select("t", "hub")), "t", "left")
+    hot = written(marks.select("first").mapInArrow(_hot(conf), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")), "hot-lists")
+    few = hot.count() <= conf.max_broadcast
+    about = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    hubs = written(postings.join(about(hot.select("t")), "t").groupBy("t").agg(F.min("doc_id").alias("hub")), "long-lists")
+    if few:
+        known = postings.join(F.broadcast(hubs), "t", "left")
         stars = known.where("hub is not null").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
         rest = known.where("hub is null")
     else:
-        stars = postings.join(long.select("t", "hub"), "t").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
-        rest = postings.join(long.select("t"), "t", "left_anti")
+        stars = postings.join(hubs, "t").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
+        rest = postings.join(hubs.select("t"), "t", "left_anti")
 
     keyed = marks.where("size(keys) > 0").select("doc_id", "n", F.explode("keys").alias("t"))
     least = keyed.groupBy("t").agg(F.min(F.struct("n", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     total = least.agg(F.sum("n")).head()[0] or 0
     small = told(keyed.drop("n"), least, "t", total).select(F.col("doc_id").alias("u"), F.col("hub.doc_id").alias("v"))
 
-    short = rest.select("t", F.struct("doc_id", "n").alias("doc")).groupBy("t").agg(F.collect_list("doc").alias("docs")).where("size(docs) > 1")
-    scanned = short.select("docs").mapInArrow(_scan(conf), "a long, b long, na long, nb long, k long")
-    pairs = scanned.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("k").alias("k"))
+    # Python gets each list as a run of rows; a list in one task is no longer than what _hot lets pass.
+    scanned = rest.select("t", "doc_id", "n").repartition("t").sortWithinPartitions("t", "doc_id").mapInArrow(_scan(conf), _PAIRS)
+    star = F.min("k").alias("star")
+    pairs = scanned.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum(F.greatest("k", F.lit(0))).alias("k"), star)
     # n less ceil(percent * n / 100) and one, are in the first part; the rest is beyond it.
     beyond = F.expr(f"greatest((na * {conf.percent} + 99) div 100, (nb * {conf.percent} + 99) div 100) - 1")
     may = (100 + conf.percent) * (F.col("k") + beyond) >= conf.percent * (F.col("na") + F.col("nb"))
-    near = pairs.where(may).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = pairs.where((F.col("star") < 0) | may).select(F.col("a").alias("u"), F.col("b").alias("v"))
     out = written(stars.unionByName(small).unionByName(near).where("u <> v").distinct(), "candidates")
-    drop(spark, long)
+    drop(marks.sparkSession, hot, hubs)
     return out
 
 
