@@ -51,8 +51,8 @@ from noticeflow.llm.components import components, forest, told
 from noticeflow.llm.storage import drop, written
 
 _SIZE, _LIST = 0, 1
-#: So many lists of parts, one for each large cluster, may be broadcast.
-HUBS_LISTS = 2_000
+#: So many parts of all large clusters, some tens of bytes each, may be broadcast.
+MOST_PARTS = 20_000
 
 
 @dataclass(frozen=True)
@@ -431,10 +431,16 @@ def _cross_blocks(big: DataFrame, settled: DataFrame, conf: Join) -> DataFrame:
     label = F.when(F.col("w") > half, F.col("group").cast("string")).otherwise("*")
     labels = size.withColumn("label", label)
     parts = labels.groupBy("root", "band", "label").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("groups")).withColumn("parts", F.ceil(F.col("w") / half).cast("int"))
+    # Large groups are few, by their weight, and parts lists by the clusters': a group's many
+    # rows then learn its name without meeting in one task.
+    named = labels.where("label <> '*'").select("root", "band", "group", "label")
+    few = parts.count() <= MOST_PARTS
+    told_ = lambda df: F.broadcast(df) if few else df
     # A cluster has as many parts as blocks of half size, and a few for its bands.
     lists = parts.groupBy("root").agg(F.collect_list(F.struct("band", "label", "parts", "groups")).alias("all"))
-    own = rows.join(labels.select("root", "band", "group", "label"), ["root", "band", "group"]).join(parts.select("root", "band", "label", "parts"), ["root", "band", "label"])
-    own = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(F.broadcast(lists) if lists.count() <= HUBS_LISTS else lists, "root")
+    own = rows.join(told_(named), ["root", "band", "group"], "left").withColumn("label", F.coalesce("label", F.lit("*")))
+    own = own.join(told_(parts.select("root", "band", "label", "parts")), ["root", "band", "label"])
+    own = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(told_(lists), "root")
     name = lambda band, label, part: F.concat_ws(":", band.cast("string"), label, part.cast("string"))
     mine = name(F.col("band"), F.col("label"), F.col("part"))
     meets = F.filter("all", lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & ((x["label"] == "*") | (x["label"] != F.col("label"))))
