@@ -349,7 +349,7 @@ def _scan(conf: Join):
 def _candidates(marks: DataFrame, conf: Join) -> DataFrame:
     """Pairs (u, v) that may link, and stars around one set for long lists and subset keys."""
     postings = marks.select("doc_id", "n", F.explode("first").alias("t"))
-    hot = written(marks.select("first").mapInArrow(_hot(conf), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")), "hot-lists")
+    hot = written(marks.select("first").mapInArrow(_hot(conf), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") > conf.short), "hot-lists")
     few = hot.count() <= conf.max_broadcast
     about = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     hubs = written(postings.join(about(hot.select("t")), "t").groupBy("t").agg(F.min("doc_id").alias("hub")), "long-lists")
