@@ -53,6 +53,8 @@ from noticeflow.llm.storage import drop, written
 _SIZE, _LIST = 0, 1
 #: So many parts of all large clusters, some tens of bytes each, may be broadcast.
 MOST_PARTS = 20_000
+#: So many words of marks, 64 ids' hashes each, may be broadcast: some tens of bytes each.
+MOST_WORDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -452,9 +454,23 @@ def _cross_blocks(big: DataFrame, settled: DataFrame, conf: Join) -> DataFrame:
 _SETS = "blocks array<string>, doc_id long, shingles binary"
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` joined with ``ids`` (doc_id and more), which is read three times.
+
+    Texts of other ids are left out before the shuffle, but for those (about one in eight, more
+    where ids are more than four million) whose hash is marked by an id; the join drops them.
+    """
+    words = min(MOST_WORDS, max(1, ids.count() // 8))
+    at = f"pmod(xxhash64(doc_id), {64 * words}L)"
+    marked = ids.selectExpr(f"{at} div 64 AS _word", f"shiftleft(1L, CAST({at} % 64 AS INT)) AS _bit")
+    bits = F.broadcast(marked.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    near = docs.withColumn("_word", F.expr(f"{at} div 64")).join(bits, "_word").where(f"getbit(_bits, CAST({at} % 64 AS INT)) = 1")
+    return near.drop("_word", "_bits").join(ids, "doc_id")
+
+
 def _linked(docs: DataFrame, placed: DataFrame, conf: Join) -> DataFrame:
     """The links that are found in blocks, for documents (blocks, doc_id)."""
-    texts = docs.join(placed, "doc_id").select("blocks", "doc_id", "text")
+    texts = _texts(docs, placed).select("blocks", "doc_id", "text")
     sets = texts.mapInArrow(_sets(conf), _SETS).select(F.explode("blocks").alias("block"), "doc_id", "shingles")
     return sets.groupBy("block").applyInArrow(_links(conf), "u long, v long")
 
@@ -480,20 +496,25 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join =
     schema = "doc_id long, n long, d1 long, d2 long, first array<long>, keys array<long>" + kinds
     marks = written(carried.mapInArrow(_signatures(conf, x, frequent, more), schema), "signatures")
     extra = [f"_more{i}" for i in range(len(more))]
-    rows = marks.select("doc_id", "n", "d1", "d2", *extra)
+    rows = written(marks.select("doc_id", "n", "d1", "d2", *extra), "rows")
     classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id"))
-    edges = _candidates(marks.select("doc_id", "n", "first", "keys").join(reps, "doc_id", "left_semi"), conf)
+    # Read by several steps, each of which would shuffle the lists again.
+    parts = written(marks.select("doc_id", "n", "first", "keys").join(reps, "doc_id", "left_semi"), "first-parts")
+    drop(spark, marks)
+    edges = _candidates(parts, conf)
+    drop(spark, parts)
     clusters = written(components(edges), "clusters")
 
     sizes_of = rows.where("n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
     nodes = written(clusters.join(sizes_of, "node").withColumn("weight", F.col("n") + 512), "nodes")
     weights = nodes.groupBy("root").agg(F.sum("weight").alias("w"))
-    links = _linked(docs, _blocks(nodes, weights, conf), conf)
+    placed = written(_blocks(nodes, weights, conf), "placed")
+    links = _linked(docs, placed, conf)
     large = written(nodes.join(weights.where(F.col("w") > conf.block).select("root"), "root"), "large")
     spare = []
     if not large.isEmpty():
-        sets = written(docs.join(large.select(F.col("node").alias("doc_id")), "doc_id").select(F.lit(None).cast("array<string>").alias("blocks"), "doc_id", "text").mapInArrow(_sets(conf), _SETS), "sets")
+        sets = written(_texts(docs, large.select(F.col("node").alias("doc_id"))).select(F.lit(None).cast("array<string>").alias("blocks"), "doc_id", "text").mapInArrow(_sets(conf), _SETS), "sets")
         first = written(_settle(edges, large, sets, conf), "settled")
         joined = written(components(first).withColumnRenamed("root", "found"), "joined")
         cross = _cross_blocks(large, joined, conf).join(sets.select("doc_id", "shingles"), "doc_id").select(F.explode("blocks").alias("block"), "doc_id", "shingles")
@@ -501,7 +522,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", conf: Join =
         spare = [sets, first, joined]
     links = written(links, "links")
     found = written(components(links), "found")
-    drop(spark, links, edges, clusters, nodes, large, *spare)
+    drop(spark, links, edges, clusters, nodes, placed, large, *spare)
 
     salts = 16
     groups = (

@@ -137,3 +137,37 @@ def test_hubs(spark, monkeypatch):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     want = forest(pairs)
     assert got == {k: v for k, v in want.items() if any(k in p and p[0] != p[1] for p in pairs)}
+
+
+def shuffled(spark):
+    """Bytes that all tasks have written for shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    known = sc.statusStore().executorList(False)
+    return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    rng = random.Random(7)
+    docs = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(300))) for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " and more") for i in range(3)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).localCheckpoint()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = shuffled(spark)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {r.doc_id: r.component_id for r in ngram_join.join(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert got == {i: i % 1000 for i, _ in docs}
+    assert shuffled(spark) - before < 1.3 * sum(len(t) for _, t in docs)
+
+
+@pytest.mark.parametrize("most", [1, 500_000])
+def test_texts_of_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MOST_WORDS", most)
+    docs = spark.createDataFrame([(i % 900 - 20, str(i)) for i in range(1000)] + [(None, "null")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i, [str(i)]) for i in range(-50, 2000, 7)], "doc_id long, blocks array<string>")
+    got = sorted((r.doc_id, r.text, r.blocks) for r in ngram_join._texts(docs, ids).collect())
+    assert got == sorted((i % 900 - 20, str(i), [str(i % 900 - 20)]) for i in range(1000) if (i % 900 + 30) % 7 == 0)
+    assert ngram_join._texts(docs, ids.limit(0)).collect() == []
