@@ -40,8 +40,11 @@ END = b"\0\0\0\0"
 #: Letters and marks between which, and around line ends, pieces are cut for sure.
 _LETTERS, _POINTS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?$%&*#|<>"
 _AFTER = frozenset(_POINTS + "\n")
-#: Bytes of text that are taken at a time.
-_TEXT = 4_000_000
+#: Bytes of text that are taken at a time, and parts whose ids are gathered at a time.
+_TEXT, _GATHER = 16_000_000, 500_000
+#: Parts of letters, marks and lines, and where their pieces end.
+_KNOWN = rf"\A[{_LETTERS}]{{1,64}}[{_POINTS}]*(?:\n[{_LETTERS}]{{1,64}}[{_POINTS}]*)*\z"
+_PIECE = rf"(\n|[{_POINTS}]+)"
 #: A space before white space or the end, where texts are not simply cut.
 _ODD = r" (?:[\x{1}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
@@ -66,9 +69,10 @@ class Encoder(dict):
     that is not white space itself; nor do special tokens without spaces.  So texts are cut
     there, and the ids of each short part (which starts with its space) are kept in a
     bounded cache: this object, from part to ids, and the one before it, from which parts
-    that are met again come back; both grow by the parts of a few megabytes at most.  Letters,
-    marks after them and line ends are pieces of their own.  A
-    tokenizer file for which this does not hold is run over whole texts.
+    that are met again come back.  Letters, marks after them and line ends are pieces of their
+    own, so of a column only distinct words are looked up, in arrays of as many words; all
+    grow by the words of ``_TEXT`` bytes at most.  A tokenizer file for which this does not
+    hold is run over whole texts.
     """
 
     def __init__(self, path: str, size: int = 250_000) -> None:
@@ -79,11 +83,21 @@ class Encoder(dict):
         split = table.get("pre_tokenizer") or {}
         plain = [not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in table.get("added_tokens", ())]
         self._whole = table.get("normalizer") is not None or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or not all(plain)
-        self._encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode
+        # Bytes of text that a token stands for; a byte-level vocabulary has a letter a byte.
+        self._width = np.zeros(max(tokenizer.get_vocab().values(), default=0) + 1, np.int64)
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+            self._width[i] = len(token)
+        for t in table.get("added_tokens", ()):
+            self._width[t["id"]] = len(t["content"].encode())
         self._cut = re.compile(r" (?=\S)").split
         self._word = re.compile(rf"([{_LETTERS}]{{1,64}})([{_POINTS}]*)((?:\n[{_LETTERS}]{{1,64}}[{_POINTS}]*)*)").fullmatch
         self._letters = re.compile(f"[{_LETTERS}]{{1,64}}").match
         self._size, self._before, self._pieces = size, {}, {}
+        # Words of columns, with a space before them: ids in a row, begin and count of each.
+        self._words, self._met = pa.array([], pa.string()), np.zeros(0, bool)
+        self._ids, self._start, self._count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, text: str) -> bytes:
         return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -128,16 +142,57 @@ class Encoder(dict):
             self._before = dict(self)
             self.clear()
 
-    def learn(self, words: list[str]) -> None:
-        """Caches words of letters by one run over all of them: each is a piece of its own."""
-        for at in range(0, len(words), 4096):
-            own = words[at : at + 4096]
-            got = self._encode(" " + " ".join(own), add_special_tokens=False)
-            ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            if len(of) and of[-1] + 1 == len(own):
-                ends = np.searchsorted(of, np.arange(1, len(own) + 1)).tolist()
-                data = ids.tobytes()
-                self.update((w, data[4 * i : 4 * j]) for w, i, j in zip(own, [0, *ends], ends, strict=False))
+    def _together(self, words: list[str], gap: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters in a row, and how many each has, by runs over many of them.
+
+        Each is a piece of its own, with a space before it, or, if lines part them, without.
+        """
+        out, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 512):
+            own = words[at : at + 512]
+            ids = np.array(self._encode(gap + gap.join(own), add_special_tokens=False).ids, "<u4")
+            reach = np.cumsum(self._width[ids])
+            goal = np.cumsum([len(w.encode()) + 1 for w in own])
+            ends = np.searchsorted(reach, goal) + 1
+            begins = np.concatenate(([0], ends[:-1]))
+            size = ends - begins
+            fits = len(reach) == ends[-1] and (reach[ends - 1] == goal).all()
+            if fits and gap != " ":
+                fits = (self._width[ids[begins]] == 1).all()
+                ids, size = np.delete(ids, begins), size - 1
+            if not fits:
+                each = [self.ids(gap.replace("\n", "") + w) for w in own]
+                ids, size = np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each])
+            out.append(ids)
+            sizes.append(size)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def learn(self, words: list[str], gap: str = " ") -> None:
+        """Caches words of letters."""
+        ids, size = self._together(words, gap)
+        data, ends = ids.tobytes(), np.cumsum(size).tolist()
+        (self if gap == " " else self._pieces).update((w, data[4 * i : 4 * j]) for w, i, j in zip(words, [0, *ends], ends, strict=False))
+
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all known words, and where those of these distinct words begin and how many."""
+        if len(self._words) >= 2 * self._size:
+            # Those met since this was done last stay.
+            kept = np.flatnonzero(self._met)
+            self._ids = self._ids[_runs(self._start[kept], self._count[kept])]
+            self._words, self._count = self._words.take(pa.array(kept)), self._count[kept]
+            self._start, self._met = np.cumsum(self._count) - self._count, np.zeros(len(kept), bool)
+        words = words.cast(self._words.type)
+        place = pc.index_in(words, value_set=self._words)
+        fresh = words.filter(place.is_null())
+        ids, count = self._together(fresh.to_pylist(), " ")
+        at, new = place.fill_null(-1).to_numpy().astype(np.int64), len(self._words)
+        at[at < 0] = new + np.arange(len(fresh))
+        self._start = np.concatenate((self._start, len(self._ids) + np.cumsum(count) - count))
+        self._ids, self._count = np.concatenate((self._ids, ids)), np.concatenate((self._count, count))
+        self._words = pa.concat_arrays([self._words, fresh])
+        self._met = np.concatenate((self._met, np.zeros(len(fresh), bool)))
+        self._met[at] = True
+        return self._ids, self._start[at], self._count[at]
 
     def columns(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a column without nulls, some megabytes of text at a time."""
@@ -146,34 +201,72 @@ class Encoder(dict):
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TEXT, "right")))
             part = texts.slice(at, to - at)
-            if self._whole or pc.any(pc.match_substring_regex(part, _ODD)).as_py():
-                yield from (np.frombuffer(self.document(t), "<u4") for t in part.to_pylist())
-            else:
-                yield from self._plain(part)
+            odd = pa.array(np.ones(len(part), bool)) if self._whole else pc.match_substring_regex(part, _ODD)
+            plain = self._plain(part.filter(pc.invert(odd))) if pc.any(pc.invert(odd)).as_py() else iter(())
+            for i, whole in enumerate(odd.to_pylist()):
+                yield np.frombuffer(self.document(part[i].as_py()), "<u4") if whole else next(plain)
             at = to
 
     def _plain(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """Texts that can be cut at each space: distinct parts are looked up, ids gathered."""
+        """Texts that can be cut at each space: ids of distinct parts are gathered."""
         self._turn()
         cut = pc.split_pattern(texts, " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = cut.flatten().dictionary_encode()
-        codes, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        self._meet(parts)
-        known = [self[p] for p in parts]
         # The first part of a text has no space before it.
-        heads = bounds[:-1]
-        first = coded.dictionary.take(coded.indices.take(pa.array(heads))).to_pylist()
-        known += map(self.head, first)
-        codes[heads] = len(parts) + np.arange(len(heads))
-        data = np.frombuffer(b"".join(known), "<u4")
-        size = np.array([len(k) for k in known], np.int64) // 4
-        start, count = np.cumsum(size) - size, size[codes]
-        ends = np.cumsum(count)
-        ids = data[np.repeat(start[codes] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
-        edge = np.concatenate(([0], ends[bounds[1:] - 1])).tolist()
-        return (ids[i:j] for i, j in itertools.pairwise(edge))
+        heads, spaced = bounds[:-1], len(coded.dictionary)
+        codes = coded.indices.to_numpy().astype(np.int64)
+        data, size = self._parts(pa.concat_arrays([coded.dictionary, coded.dictionary.take(coded.indices.take(pa.array(heads)))]), spaced)
+        codes[heads] = spaced + np.arange(len(heads))
+        start, at = np.cumsum(size) - size, 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _GATHER, "right")) - 1)
+            own = codes[bounds[at] : bounds[to]]
+            count = size[own]
+            ids = data[_runs(start[own], count)]
+            edge = np.concatenate(([0], np.cumsum(count)))[bounds[at : to + 1] - bounds[at]].tolist()
+            yield from (ids[i:j] for i, j in itertools.pairwise(edge))
+            at = to
+
+    def _parts(self, parts: pa.Array, spaced: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these parts in a row, and how many each has; the first ``spaced`` have a
+        space before them."""
+        known = pc.match_substring_regex(parts, _KNOWN)
+        own = known.to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(~own)
+        cut = pc.split_pattern(pc.replace_substring_regex(parts.filter(known), _PIECE, "\x01\\1\x01"), "\x01")
+        pieces, begins = cut.flatten(), cut.offsets.to_numpy()[:-1].astype(np.int64)
+        there = pc.binary_length(pieces).to_numpy() > 0
+        word = np.zeros(len(pieces), bool)
+        word[begins[np.flatnonzero(own) < spaced]] = True
+        words, bare = (pieces.filter(pa.array(x)).dictionary_encode() for x in (word, there & ~word))
+        others_ = [(i < spaced, parts[i].as_py()) for i in others.tolist()]
+        found = self._bare(bare.dictionary.to_pylist()) + [self[p] if after else self.head(p) for after, p in others_]
+        known_ids, begin, size = self._spaced(words.dictionary)
+
+        # Each part is a run of units: its pieces, or itself.
+        unit = np.empty(len(pieces), np.int64)
+        unit[word] = words.indices.to_numpy()
+        unit[there & ~word] = len(size) + bare.indices.to_numpy()
+        count = np.ones(len(parts), np.int64)
+        count[own] = np.add.reduceat(there, begins, dtype=np.int64) if len(begins) else 0
+        first = np.cumsum(count) - count
+        units = np.empty(int(count.sum()), np.int64)
+        units[first[others]] = len(size) + len(found) - len(others) + np.arange(len(others))
+        units[_runs(first[own], count[own])] = unit[there]
+        more = np.array([len(f) for f in found], np.int64) // 4
+        begin, size = np.concatenate((begin, len(known_ids) + np.cumsum(more) - more)), np.concatenate((size, more))
+        ids = np.concatenate((known_ids, np.frombuffer(b"".join(found), "<u4")))[_runs(begin[units], size[units])]
+        return ids, np.add.reduceat(size[units], first) if len(first) else first
+
+    def _bare(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that have no space before them."""
+        if len(self._pieces) >= self._size:
+            self._pieces.clear()
+        self.learn([p for p in pieces if p not in self._pieces and self._letters(p)], "\n")
+        self._pieces.update((p, self.ids(p)) for p in pieces if p not in self._pieces)
+        return [self._pieces[p] for p in pieces]
 
     def _meet(self, parts: list[str]) -> None:
         """Runs over the new words among these parts together."""
@@ -194,6 +287,12 @@ class Encoder(dict):
         return self.head(first) + b"".join([self[p] for p in parts])
 
 
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as it counts."""
+    ends = np.cumsum(count)
+    return np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @functools.lru_cache(maxsize=1)
 def encoder_of(path: str, size: int) -> Encoder:
     """One for all tasks that a worker runs."""

@@ -38,6 +38,23 @@ def test_other_tokenizers_run_over_whole_texts():
         assert np.frombuffer(encoder.document(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_columns_are_encoded_together():
+    """Few runs of the tokenizer for many words, also after line ends, beside an odd text, and
+    when more words come than are kept."""
+    rng = random.Random(9)
+    encoder, runs = packing.Encoder(PATH, 100), []
+    run = encoder._encode
+    encoder._encode = lambda *a, **b: runs.append(a) or run(*a, **b)
+    words = ["".join(rng.choice("abcdeéßO") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    for k in range(6):
+        texts = ["".join(rng.choice(words[400 * k : 400 * k + 800]) + rng.choice([" ", ", ", ".\n", "\n", "!? "]) for _ in range(40)) + "end" for _ in range(60)]
+        texts[7] = "odd \t" + texts[7][:20] + " "
+        for kind in (pa.string(), pa.large_string()):
+            got = [x.tolist() for x in encoder.columns(pa.array(texts, kind))]
+            assert len(runs) < 60 * (k + 1)
+            assert got == [ids(t) for t in texts]
+
+
 def check(rows, docs, length):
     by, seq = defaultdict(list), defaultdict(list)
     for r in rows:
