@@ -68,3 +68,25 @@ def test_the_model_blocks_pages(spark, sf):
     caught = sum(r.verdict == "block" for r in bad)
     stray = sum(r.verdict == "block" for r in rows) - caught
     assert caught >= 0.9 * len(bad) > 0 and stray <= 0.02 * len(rows)
+
+
+#: The list of the contract, in its own words, and hosts and paths that each rule alone decides.
+CONTRACT = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+DECIDED = {
+    "com/en/": ("a.com/en/1", "example.com/en/8", "com/en/"),
+    "example.com/en/7": ("example.com/en/7", "b.example.com/en/71"),
+    "net/de/": ("a.net/de/1", "example.net/de/7", "casino.net/de/click/1", "net/de/"),
+    "example.net/de/8": ("example.net/de/8", "b.example.net/de/81"),
+    "org/es/": ("a.org/es/1", "example.org/es/", "org/es/"),
+}
+
+
+def test_verdicts_are_those_of_the_contract(spark, tmp_path):
+    from noticeflow.llm.queries import op6_url_filter
+
+    words = {rule: verdict for verdict, rule in (r.split(" ") for r in CONTRACT.split(", "))}
+    assert {rule: verdict for verdict, rule in u.RULES} == words
+    rows = [(i, f"http://{x}?q#a", rule) for i, (rule, x) in enumerate((rule, x) for rule, each in DECIDED.items() for x in each)]
+    spark.createDataFrame(rows, "page_id long, url string, fits string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op6_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: (rule, words[rule]) for i, _, rule in rows}
